@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from . import linededup, mixing, quality
 from .common import documents
 
 
@@ -25,9 +28,47 @@ def op9_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 24)
 
 
+def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents
+
+    return score_documents(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op4_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_documents
+
+    return mix_documents(documents(spark, sf_dir)).select(
+        "doc_id",
+        F.col("__source").alias("source"),
+        F.col("__lang").alias("lang"),
+        F.col("__topic").alias("topic"),
+        F.col("__tokens").alias("n_tokens"),
+        F.round("ratio", 6).alias("weight"),
+        F.round("prob", 6).alias("prob"),
+        "sampled",
+    )
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    return dedup_lines(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
+    "op3_quality_cascade": op3_quality_cascade,
+    "op4_raked_mix": op4_raked_mix,
+    "op6_line_dedup": op6_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op9_virtual_slot_shards": op9_virtual_slot_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_cascade": quality.SQL,
+    "op4_raked_mix": mixing.SQL,
+    "op6_line_dedup": linededup.SQL,
+}
