@@ -28,6 +28,16 @@ def op9_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 24)
 
 
+def op2_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import learn_profiles, predict_languages
+
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    keyed = docs.select("doc_id", "text", "lang", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    profiles = learn_profiles(keyed.filter(~F.col("held_out")))
+    return predict_languages(keyed, profiles)
+
+
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score_documents
 
@@ -60,6 +70,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_rank_order_language": op2_rank_order_language,
     "op3_quality_cascade": op3_quality_cascade,
     "op4_raked_mix": op4_raked_mix,
     "op6_line_dedup": op6_line_dedup,
