@@ -22,6 +22,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
+def op8_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import classed
+
+    return classed(documents(spark, sf_dir))
+
+
 def op9_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -75,6 +81,7 @@ QUERIES = {
     "op4_raked_mix": op4_raked_mix,
     "op6_line_dedup": op6_line_dedup,
     "op5_token_counts": op5_token_counts,
+    "op8_weighted_minhash": op8_weighted_minhash,
     "op9_virtual_slot_shards": op9_virtual_slot_shards,
 }
 
