@@ -75,6 +75,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import dedup_substrings
+
+    return dedup_substrings(documents(spark, sf_dir), keep_bytes=False).withColumnRenamed("kept", "kept_sha256")
+
+
 QUERIES = {
     "op2_rank_order_language": op2_rank_order_language,
     "op3_quality_cascade": op3_quality_cascade,
@@ -83,6 +89,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op8_weighted_minhash": op8_weighted_minhash,
     "op9_virtual_slot_shards": op9_virtual_slot_shards,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
