@@ -22,6 +22,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
+def op7_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice import sample_segmentations
+
+    found = sample_segmentations(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), k=2, brief=True)
+    return found.select(
+        "doc_id",
+        "round_trip",
+        F.size("samples").alias("n_samples"),
+        F.col("samples.n_pieces").alias("n_pieces"),
+        F.col("samples.log_prob").alias("log_prob"),
+        F.col("samples.inclusion").alias("inclusion"),
+        F.col("samples.ids_crc32").alias("ids_crc32"),
+    )
+
+
 def op8_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import classed
 
@@ -34,6 +49,17 @@ def op9_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 24)
 
 
+def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of every text, read as raw 8-bit samples, are the media column."""
+    from .chroma import BYTES, fingerprints, search
+
+    media = documents(spark, sf_dir).select(
+        F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("media")
+    )
+    found = search(fingerprints(media, BYTES), F.coalesce(F.col("id") % 50 == 0, F.lit(False)))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op2_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import learn_profiles, predict_languages
 
@@ -82,11 +108,13 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chroma_fingerprints": op1_chroma_fingerprints,
     "op2_rank_order_language": op2_rank_order_language,
     "op3_quality_cascade": op3_quality_cascade,
     "op4_raked_mix": op4_raked_mix,
     "op6_line_dedup": op6_line_dedup,
     "op5_token_counts": op5_token_counts,
+    "op7_gumbel_segmentations": op7_gumbel_segmentations,
     "op8_weighted_minhash": op8_weighted_minhash,
     "op9_virtual_slot_shards": op9_virtual_slot_shards,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
