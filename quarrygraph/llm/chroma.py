@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import by_value, materialize, mix64
 
 WINDOW = 16
-MIN_HITS, MAX_BER = 0.5, 0.25
+MIN_HITS, MAX_BER = 0.2, 0.3
 COMMON_SHARE = 0.002
 
 
@@ -51,11 +51,11 @@ class Audio:
 
 
 #: Raw bytes are short recordings: small frames give them fingerprints. The folded range covers the spectrum.
-BYTES = Audio(frame=512, hop=64, low=43.0, high=5500.0)
+BYTES = Audio(frame=256, hop=32, low=300.0, high=5500.0)
 
 #: (kind, first pitch class, pitch classes, frames, thresholds): areas compared by the filters.
 FILTERS = (
-    (0, 0, 12, 15, (-0.10, 0.0, 0.10)), (1, 4, 6, 15, (-0.10, 0.0, 0.10)), (2, 0, 4, 16, (-0.08, 0.0, 0.08)),
+    (0, 6, 6, 15, (-0.10, 0.0, 0.10)), (1, 4, 6, 15, (-0.10, 0.0, 0.10)), (2, 0, 4, 16, (-0.08, 0.0, 0.08)),
     (3, 8, 4, 14, (-0.08, 0.0, 0.08)), (4, 0, 8, 8, (-0.08, 0.0, 0.08)), (1, 0, 12, 4, (-0.10, 0.0, 0.10)),
     (5, 2, 6, 12, (-0.08, 0.0, 0.08)), (2, 6, 6, 12, (-0.08, 0.0, 0.08)), (3, 0, 6, 16, (-0.08, 0.0, 0.08)),
     (1, 2, 4, 8, (-0.10, 0.0, 0.10)), (4, 4, 8, 16, (-0.08, 0.0, 0.08)), (2, 2, 4, 6, (-0.10, 0.0, 0.10)),
@@ -83,12 +83,12 @@ def samples_of(blob: bytes, audio: Audio) -> tuple[np.ndarray, int]:
 
 
 def fold_matrix(audio: Audio, rate: int) -> np.ndarray:
-    """Spectrum bins to pitch classes, for the bins of the folded range."""
+    """Spectrum bins to the mean of their pitch class, for the bins of the folded range."""
     hz = np.arange(audio.frame // 2 + 1) * rate / audio.frame
     out = np.zeros((len(hz), 12), np.float32)
     inside = np.flatnonzero((hz >= audio.low) & (hz <= audio.high))
     out[inside, np.round(12 * np.log2(hz[inside] / 440.0)).astype(int) % 12] = 1.0
-    return out
+    return out / np.maximum(out.sum(axis=0), 1.0)
 
 
 def chroma_frames(x: np.ndarray, audio: Audio, fold: np.ndarray, taper: np.ndarray) -> np.ndarray:
@@ -123,25 +123,21 @@ def packed_codes(chroma: np.ndarray) -> np.ndarray:
     for kind, p, h, w, cuts in FILTERS:
         q = p + h
         mid_t, mid_p = w // 2, p + h // 2
-        whole = area(0, w, p, q)
-        if kind == 0:  # energy against the mean of the window
-            a, b = whole, area(0, w, 0, 12) * (h / 12.0) * 0.95
+        whole, cells = area(0, w, p, q), w * h
+        if kind == 0:  # low against all pitch classes
+            a, part = area(0, w, p, mid_p), w * (mid_p - p)
         elif kind == 1:  # low against high pitch classes
-            a = area(0, w, mid_p, q)
-            b = whole - a
+            a, part = area(0, w, mid_p, q), w * (q - mid_p)
         elif kind == 2:  # early against late
-            a = area(mid_t, w, p, q)
-            b = whole - a
+            a, part = area(mid_t, w, p, q), (w - mid_t) * h
         elif kind == 3:  # two opposite quarters against the others
             a = area(0, mid_t, mid_p, q) + area(mid_t, w, p, mid_p)
-            b = whole - a
+            part = mid_t * (q - mid_p) + (w - mid_t) * (mid_p - p)
         elif kind == 4:  # middle third of pitch classes against the rest
-            a = area(0, w, p + h // 3, q - h // 3)
-            b = (whole - a) * 0.5
+            a, part = area(0, w, p + h // 3, q - h // 3), w * (h - 2 * (h // 3))
         else:  # middle third of time against the rest
-            a = area(w // 3, w - w // 3, p, q)
-            b = (whole - a) * 0.5
-        value = np.log1p(np.maximum(a, 0)) - np.log1p(np.maximum(b, 0))
+            a, part = area(w // 3, w - w // 3, p, q), (w - 2 * (w // 3)) * h
+        value = np.log((a / part + 1e-6) / (np.maximum(whole - a, 0) / (cells - part) + 1e-6))
         codes = (codes << np.uint32(2)) | _GRAY[np.searchsorted(np.array(cuts), value, side="right")]
     return codes
 
