@@ -9,7 +9,8 @@ the same document) is removed. No suffix array spans the corpus; equal strings a
 2. Records of equal minimizer and content are copies: all but the first are covered whole. Each task
    settles its own copies first, so a passage that a third of all rows hold sends one record per task. The
    rest travels packed, about 20 bytes for each 40 of text.
-3. Minimizers whose records differ in content (the ends of shared passages) go to suffix arrays: the records'
+3. Records of one minimizer that differ in content (the ends of shared passages) can only share a window if they
+   agree on the minimizer with ``SIDE`` bytes to its left, or to its right. Those that do go to suffix arrays: their
    bytes, in blocks of at most about ``BLOCK_STRINGS`` strings, are sorted by grouping suffixes by
    their Lyndon prefixes. Neighbours with equal 100-byte prefixes form the classes of equal windows.
 4. A minimizer with more records than a block is salted over several. Its blocks report the first place of
@@ -37,6 +38,8 @@ from .common import RangeHash, by_value, materialize, mix64, row_blocks, text_bu
 
 LENGTH = 100
 GRAM = 20
+#: A window holds its minimizer and this many bytes more on one side at least.
+SIDE = (LENGTH - GRAM + 1) // 2
 SEGMENT = 1 << 21
 CHUNK_RECORDS = 600_000
 BUCKET_BYTES = 24 << 20
@@ -146,34 +149,29 @@ _SHIFT = bytes(min(b + 1, 255) for b in range(256))
 
 
 def equal_windows(strings: list[bytes], length: int = LENGTH):
-    """Classes of equal windows of ``length`` bytes: lists of (string, offset), single ones included."""
+    """Classes of equal windows: (class, string, offset, bytes) of all windows, classes in suffix order."""
     text = b"\xff".join(x.translate(_SHIFT) for x in strings) + b"\xff\x00"
-    owner, offset = [], []
-    for k, x in enumerate(strings):
-        windows = max(0, len(x) - length + 1)
-        owner += [k] * windows + [-1] * (len(x) + 1 - windows)
-        offset += range(len(x) + 1)
-    owner.append(-1)
-    offset.append(0)
-    last, current = None, []
-    for i in suffix_array(text):
-        if owner[i] < 0:
-            continue
-        window = text[i : i + length]
-        if window != last and current:
-            yield current
-            current = []
-        last = window
-        current.append((owner[i], offset[i]))
-    if current:
-        yield current
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    string = np.repeat(np.arange(len(strings)), sizes + 1)
+    offset = np.arange(len(string)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
+    whole = np.append(offset + length <= sizes[string], False)
+    order = np.array(suffix_array(text), np.int64)
+    order = order[whole[order]]
+    if not len(order):
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros((0, length), np.uint8)
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), length)[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (windows[1:] != windows[:-1]).any(axis=1)
+    return np.cumsum(fresh) - 1, string[order], offset[order], windows
 
 
 # -------------------------------------------------------------------------------------------- records
 
 
 def record_kernel():
-    """A function from a block (bytes, offsets) to its records: row, start in the row, run, minimizer, content."""
+    """A function from a block (bytes, offsets) to its records: row, start in the row, run, minimizer, content,
+    and hashes of the minimizer with ``SIDE`` bytes to its left and right (0 where the record ends before)."""
     grams, content = RangeHash(0xA11), RangeHash(0xC0DE)
     n_grams = LENGTH - GRAM + 1
     bits = np.uint64(22)
@@ -207,7 +205,13 @@ def record_kernel():
         sums = content.sums(data)
         whole = mix64(content.ranges(sums, first, last + LENGTH) ^ (last - first).astype(np.uint64))
         row = np.searchsorted(offsets, first, side="right") - 1
-        return row, first - offsets[row], last - first + 1, hashes[at[first]], whole
+        gram = at[first]
+        reach = np.minimum(gram + GRAM + SIDE, n)
+        left = np.maximum(mix64(content.ranges(sums, np.maximum(gram - SIDE, 0), gram + GRAM)).astype(np.uint32), 1)
+        right = np.maximum(mix64(content.ranges(sums, gram, reach)).astype(np.uint32), 1)
+        left[gram - first < SIDE] = 0
+        right[last + LENGTH - gram - GRAM < SIDE] = 0
+        return row, first - offsets[row], last - first + 1, hashes[gram], whole, left, right
 
     return records
 
@@ -247,7 +251,7 @@ _PACKED_SQL = "bucket int, doc long, start int, end int, blob binary"
 
 def _pack_batches(n_buckets: int):
     def settle(parts):
-        doc, start, run, key, whole = (np.concatenate(x) for x in zip(*parts))
+        doc, start, run, key, whole, left, right = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((start, doc, whole, key))
         k, w = key[order], whole[order]
         copy = np.zeros(len(order), bool)
@@ -271,7 +275,7 @@ def _pack_batches(n_buckets: int):
             blobs.append(
                 b"".join(
                     x.tobytes()
-                    for x in (head, ids, times.astype(np.int32), key[part], whole[part], start[part].astype(np.int32), run[part].astype(np.uint8))
+                    for x in (head, ids, times.astype(np.int32), key[part], whole[part], left[part], right[part], start[part].astype(np.int32), run[part].astype(np.uint8))
                 )
             )
         names = bucket[np.concatenate(([0], cuts))].astype(np.int32) if len(kept) else np.zeros(0, np.int32)
@@ -291,8 +295,8 @@ def _pack_batches(n_buckets: int):
                 found = kernel(data, offsets)
                 if found is None:
                     continue
-                row, start, runs, key, whole = found
-                parts.append((doc[rows[row]], start + shift, runs, key, whole))
+                row, start, *rest = found
+                parts.append((doc[rows[row]], (start + shift).astype(np.int32), *rest))
                 size += len(row)
                 if size >= CHUNK_RECORDS:
                     yield from settle(parts)
@@ -307,11 +311,17 @@ def _unpack(blob: bytes):
     n, m = np.frombuffer(blob, np.int64, 2)
     at = 16
     out = []
-    for kind, count in ((np.int64, m), (np.int32, m), (np.uint64, n), (np.uint64, n), (np.int32, n), (np.uint8, n)):
+    for kind, count in ((np.int64, m), (np.int32, m), (np.uint64, n), (np.uint64, n), (np.uint32, n), (np.uint32, n), (np.int32, n), (np.uint8, n)):
         out.append(np.frombuffer(blob, kind, count, at))
         at += out[-1].nbytes
-    ids, times, key, whole, start, run = out
-    return np.repeat(ids, times), start.astype(np.int64), run.astype(np.int64), key, whole
+    ids, times, key, whole, left, right, start, run = out
+    return np.repeat(ids, times), start.astype(np.int64), run.astype(np.int64), key, whole, left, right
+
+
+def _meets(key: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whether another row has this key and this side."""
+    _, where, times = np.unique(mix64(key ^ mix64(side.astype(np.uint64))), return_inverse=True, return_counts=True)
+    return (side > 0) & (times[where] > 1)
 
 
 _FOUND_SQL = "key long, doc long, start int, end int"
@@ -324,7 +334,7 @@ def _settle_bucket(table: pa.Table) -> pa.Table:
     doc, start, end = (plain.column(c).to_numpy().astype(np.int64) for c in ("doc", "start", "end"))
     kd = ks = ke = kk = np.zeros(0, np.int64)
     if blobs:
-        rdoc, rstart, run, key, whole = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
+        rdoc, rstart, run, key, whole, left, right = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
         order = np.lexsort((rstart, rdoc, whole, key))
         k, w = key[order], whole[order]
         copy = np.zeros(len(order), bool)
@@ -337,6 +347,7 @@ def _settle_bucket(table: pa.Table) -> pa.Table:
         same = np.zeros(len(k) + 1, bool)
         same[1:-1] = k[1:] == k[:-1]
         several = kept[same[1:] | same[:-1]]
+        several = several[_meets(key[several], left[several]) | _meets(key[several], right[several])]
         kk, kd, ks = key[several].view(np.int64), rdoc[several], rstart[several]
         ke = ks + run[several] + LENGTH - 1
     doc, start, end = _merged(doc, start, end)
@@ -353,56 +364,56 @@ def _settle_bucket(table: pa.Table) -> pa.Table:
 # ------------------------------------------------------------------------------------- suffix-array blocks
 
 
-_BLOCK_SQL = "digest binary, doc long, start int, end int"
+_BLOCK_SQL = "h1 long, h2 long, doc long, start int, end int"
+
+
+def _settle_block(docs, starts, salts, strings, hashers):
+    """Intervals of all but the first window of each class (null hashes), and the first place of each class of a
+    salted minimizer with its 128-bit hash."""
+    cls, string, offset, windows = equal_windows(strings)
+    doc, start = np.array(docs, np.int64)[string], np.array(starts, np.int64)[string] + offset
+    order = np.lexsort((start, doc, cls))
+    cls, doc, start = cls[order], doc[order], start[order]
+    first = np.ones(len(cls), bool)
+    first[1:] = cls[1:] != cls[:-1]
+    heads = np.flatnonzero(first)
+    own = heads[cls] if len(heads) else heads
+    later = (doc != doc[own]) | (start != start[own])
+    d, s, e = _merged(doc[later], start[later], start[later] + LENGTH)
+    salted = heads[np.array(salts, np.int64)[string[order[heads]]] > 1]
+    hashes = []
+    for h in hashers:
+        flat = np.ascontiguousarray(windows[order[salted]]).ravel()
+        at = np.arange(len(salted)) * LENGTH
+        hashes.append(mix64(h.ranges(h.sums(flat), at, at + LENGTH)).view(np.int64))
+    none = pa.nulls(len(d), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [
+            *(pa.concat_arrays([none, pa.array(h, pa.int64())]) for h in hashes),
+            pa.array(np.concatenate((d, doc[salted]))),
+            pa.array(np.concatenate((s, start[salted])).astype(np.int32)),
+            pa.array(np.concatenate((e, start[salted] + LENGTH)).astype(np.int32)),
+        ],
+        ["h1", "h2", "doc", "start", "end"],
+    )
 
 
 def _sort_blocks(batches):
-    """Rows (key, salt, salts, doc, start, bytes) sorted by (key, salt) to intervals of later windows (null
-    digest) and, for salted keys, the first place of each class with its digest."""
-    def settle(rows):
-        doc, start, end, digest = [], [], [], []
-        strings = [r[4] for r in rows]
-        for places in equal_windows(strings):
-            if len(places) > 1:
-                at = sorted((rows[k][2], rows[k][3] + o) for k, o in places)
-            else:
-                k, o = places[0]
-                if rows[k][1] == 1:
-                    continue
-                at = [(rows[k][2], rows[k][3] + o)]
-            d0, s0 = at[0]
-            for d, s in at[1:]:
-                if (d, s) != (d0, s0):
-                    doc.append(d)
-                    start.append(s)
-            k, o = places[0]
-            if rows[k][1] > 1:
-                digest.append((hashlib.md5(rows[k][4][o : o + LENGTH]).digest(), d0, s0))
-        d, s = np.array(doc, np.int64), np.array(start, np.int64)
-        d, s, e = _merged(d, s, s + LENGTH)
-        n, m = len(d), len(digest)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([None] * n + [x[0] for x in digest], pa.binary()),
-                pa.array([*d.tolist(), *(x[1] for x in digest)], pa.int64()),
-                pa.array([*s.tolist(), *(x[2] for x in digest)], pa.int32()),
-                pa.array([*e.tolist(), *(x[2] + LENGTH for x in digest)], pa.int32()),
-            ],
-            ["digest", "doc", "start", "end"],
-        )
-
-    held, size, last = [], 0, None
+    """Rows (key, salt, salts, doc, start, bytes), sorted by (key, salt), gathered to blocks."""
+    hashers = RangeHash(0x51), RangeHash(0x52)
+    held, size, last = ([], [], [], []), 0, None
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("key", "salt", "salts", "doc", "start", "bytes")]
-        for key, salt, salts, doc, start, blob in zip(*cols):
+        cols = [batch.column(c).to_pylist() for c in ("key", "salt", "doc", "start", "salts", "bytes")]
+        for key, salt, *row in zip(*cols):
             if size >= BLOCK_BYTES and (key, salt) != last:
-                yield settle(held)
-                held, size = [], 0
+                yield _settle_block(*held, hashers)
+                held, size = ([], [], [], []), 0
             last = (key, salt)
-            held.append((key, salts, doc, start, bytes(blob)))
-            size += len(blob)
-    if held:
-        yield settle(held)
+            for column, value in zip(held, row):
+                column.append(value)
+            size += len(row[3])
+    if size:
+        yield _settle_block(*held, hashers)
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -437,12 +448,12 @@ def later_intervals(rows: DataFrame) -> DataFrame:
     )
     blocks = with_bytes.repartition("key", "salt").sortWithinPartitions("key", "salt")
     sorted_ = materialize(blocks.mapInArrow(_sort_blocks, _BLOCK_SQL), "windows")
-    heads = sorted_.filter(F.col("digest").isNotNull())
-    firsts = heads.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"))
-    across = heads.join(firsts, "digest").filter(F.struct("doc", "start") != F.col("first"))
+    heads = sorted_.filter(F.col("h1").isNotNull())
+    firsts = heads.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("first"))
+    across = heads.join(firsts, ["h1", "h2"]).filter(F.struct("doc", "start") != F.col("first"))
     return (
         found.filter(F.col("key").isNull()).select("doc", "start", "end")
-        .union(sorted_.filter(F.col("digest").isNull()).select("doc", "start", "end"))
+        .union(sorted_.filter(F.col("h1").isNull()).select("doc", "start", "end"))
         .union(across.select("doc", "start", "end"))
     )
 
