@@ -138,7 +138,7 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
     if n == 0:
         return list(rules)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(min(1_000_000, -(-sample_rows * 1_000_000 // n)))
-    sample = materialize(features(docs.filter(part)).filter(~F.col("base_failed")).coalesce(1), "rule-sample")
+    sample = materialize(features(docs.filter(part)).filter(~F.col("base_failed")).repartition(4), "rule-sample")
 
     def seconds(condition: Column) -> tuple[float, int]:
         probe = sample.agg(F.count_if(F.coalesce(condition, F.lit(False))).alias("n"), F.sum(F.size("__words")))
