@@ -7,11 +7,11 @@ integer per window position. Two recordings are aligned by the histogram of offs
 are equal; the bit error rate over the overlap at the best offset decides.
 
 Search: every query is compared to all recordings. Recordings with equal fingerprints are one class and
-are compared once. Two classes are linked if their integers agree exactly at ``MIN_HITS`` of the longer one's
+are compared once. Two classes are linked if their landmarks agree exactly at ``MIN_HITS`` of the longer one's
 positions or more, at one offset, and the bit error rate over the overlap is at most ``MAX_BER``. As so many
-integers must be shared, both sides share one among their rarest (a prefix in order of rarity), so only those
-are joined; integers above a frequency floor, whose number is bounded, are ordered by their frequency, all
-others count as rare and are ordered by hash. No candidate is capped.
+landmarks must be shared, both sides share a number of their rarest ones (a prefix in order of rarity), so only
+those are joined and counted; landmarks above a frequency floor, whose number is bounded, are ordered by their
+frequency, all others count as rare and are ordered by hash. No candidate is capped.
 
 Media come as WAV bytes (8 to 32 bit PCM, any number of channels) or as raw unsigned 8-bit samples.
 
@@ -35,7 +35,10 @@ from pyspark.sql import functions as F
 from .common import by_value, materialize, mix64
 
 WINDOW = 16
-MIN_HITS, MAX_BER = 0.2, 0.3
+#: A landmark is the integer at a position with the one this far on, or with the last one.
+GAP = 8
+CHUNK = 4096
+MIN_HITS, MAX_BER = 0.4, 0.3
 COMMON_SHARE = 0.002
 
 
@@ -167,49 +170,71 @@ def fingerprints(media: DataFrame, audio: Audio = Audio()) -> DataFrame:
 # ---------------------------------------------------------------------------------------------- search
 
 
-def _distinct_codes(batches):
-    """Each recording's distinct codes, counted within the task before they are shuffled."""
+def landmarks(codes: np.ndarray) -> np.ndarray:
+    """One uint64 for each position."""
+    n = len(codes)
+    far = codes[np.minimum(np.arange(n) + GAP, n - 1)] if n else codes
+    return (codes.astype(np.uint64) << np.uint64(32)) | far.astype(np.uint64)
+
+
+def _common_in_chunks(batches):
+    """Landmarks that two recordings of a chunk or more share, with their number there: what the sum over chunks
+    lacks is at most one for each chunk."""
+    held: list[np.ndarray] = []
+
+    def report():
+        marks, n = np.unique(np.concatenate(held), return_counts=True)
+        more = n > 1
+        return pa.RecordBatch.from_arrays([pa.array(marks[more].view(np.int64)), pa.array(n[more].astype(np.int64))], ["mark", "n"])
+
     for batch in batches:
-        parts = [np.unique(np.frombuffer(b.as_py(), "<u4")) for b in batch.column("codes")]
-        codes, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, "<u4"), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
+        for blob in batch.column("codes"):
+            held.append(np.unique(landmarks(np.frombuffer(blob.as_py(), "<u4"))))
+            if len(held) == CHUNK:
+                yield report()
+                held = []
+    if held:
+        yield report()
+
+
+def least_shared(n: int, min_hits: float) -> int:
+    """Landmarks that the prefixes of two linked recordings share at least: a third of the hits that a link needs."""
+    return -(-int(np.ceil(min_hits * n)) // 3)
 
 
 def _prefix_batches(common: list[tuple[int, int]], min_hits: float):
-    """Rows (code, id, n) of each recording's prefix: its rarest codes, counted with their repeats.
+    """Rows (mark, id, n, times) of each recording's prefix: its rarest landmarks with their repeats.
 
-    A partner has ``min_hits`` of the longer one's positions in common, so it must share a code even when the
-    last ceil(min_hits * n) - 1 positions in the order are set aside.
+    A partner has o = ceil(min_hits * n) positions in common or more. The first l of the common landmarks come before
+    the other o - l, so they are among the first n - o + l of either side.
     """
-    table = dict(common)
+    table = {mark % (1 << 64): n for mark, n in common}
 
     def run(batches):
         for batch in batches:
-            ids, codes, sizes = [], [], []
+            parts = []
             for i, blob in zip(batch.column("id").to_pylist(), batch.column("codes")):
-                own, times = np.unique(np.frombuffer(blob.as_py(), "<u4"), return_counts=True)
+                own, times = np.unique(landmarks(np.frombuffer(blob.as_py(), "<u4")), return_counts=True)
                 n = int(times.sum())
-                df = np.array([table.get(int(c), 0) for c in own])
-                order = np.lexsort((mix64(own.astype(np.uint64)), df))
-                left = n - int(np.ceil(min_hits * n)) + 1
-                take = int(np.searchsorted(np.cumsum(times[order]), left)) + 1
-                pick = own[order[:take]]
-                ids.append(np.full(len(pick), i))
-                codes.append(pick.astype(np.int64))
-                sizes.append(np.full(len(pick), n))
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(codes)), pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(sizes).astype(np.int64))],
-                    ["code", "id", "n"],
-                )
+                df = np.array([table.get(c, 0) for c in own.tolist()])
+                order = np.lexsort((mix64(own), df))
+                left = n - int(np.ceil(min_hits * n)) + least_shared(n, min_hits)
+                pick = order[: int(np.searchsorted(np.cumsum(times[order]), left)) + 1]
+                m = len(pick)
+                parts.append((own[pick].view(np.int64), np.full(m, i), np.full(m, n), times[pick]))
+            if parts:
+                mark, ids, n, times = (np.concatenate(x) for x in zip(*parts))
+                arrays = [pa.array(mark), pa.array(ids.astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in (n, times))]
+                yield pa.RecordBatch.from_arrays(arrays, ["mark", "id", "n", "times"])
 
     return run
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
-    """Best offset of ``b`` in ``a`` (positions of a minus positions of b), equal codes there, bit error rate there."""
-    order = np.argsort(b, kind="stable")
-    lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    """Best offset of ``b`` in ``a`` (positions of a minus positions of b), equal landmarks there, bit error rate there."""
+    p, q = landmarks(a), landmarks(b)
+    order = np.argsort(q, kind="stable")
+    lo, hi = np.searchsorted(q[order], p, "left"), np.searchsorted(q[order], p, "right")
     count = hi - lo
     if not count.any():
         return 0, 0, 1.0
@@ -253,7 +278,7 @@ def search(prints: DataFrame, is_query, min_hits: float = MIN_HITS, max_ber: flo
     ``class_id`` is the smallest id with this fingerprint. ``links``, held by the class's own row (id = class_id),
     lists the classes that hold a query and align with it: (query_class, offset, hits, ber).
     """
-    prints = materialize(prints.withColumn("digest", F.md5("codes")).withColumn("is_query", is_query), "fingerprints")
+    prints = materialize(prints.withColumn("digest", F.unhex(F.md5("codes"))).withColumn("is_query", is_query), "fingerprints")
     full = F.octet_length("codes") > 0
     classes = (
         prints.filter(full)
@@ -263,21 +288,23 @@ def search(prints: DataFrame, is_query, min_hits: float = MIN_HITS, max_ber: flo
     classes = materialize(classes.filter("id is not null"), "print-classes")
     n = classes.count()
     common = (
-        classes.select("codes").mapInArrow(_distinct_codes, "code long, n long")
-        .groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") > max(1, COMMON_SHARE * n))
-    )  # at most mean codes per recording / COMMON_SHARE of them, however many recordings there are
-    table = [(r.code, r.n) for r in common.collect()]
+        classes.select("codes").mapInArrow(_common_in_chunks, "mark long, n long")
+        .groupBy("mark").agg(F.sum("n").alias("n")).filter(F.col("n") > max(1, COMMON_SHARE * n))
+    )  # at most mean landmarks per recording / COMMON_SHARE of them, however many recordings there are
+    table = [(r.mark, r.n) for r in common.collect()]
     prefix = _prefix_batches(table, min_hits)
-    sides = "code long, id long, n long"
+    sides = "mark long, id long, n int, times int"
     held = classes.select("id", "codes").mapInArrow(prefix, sides)
     asked = classes.filter("asks").select("id", "codes").mapInArrow(prefix, sides)
-    asked = asked.select("code", F.col("id").alias("query"), F.col("n").alias("query_n"))
+    asked = asked.select("mark", *[F.col(c).alias(f"q_{c}") for c in ("id", "n", "times")])
     pairs = (
-        held.join(asked, "code")
-        .filter("query <> id")
-        .filter((F.least("n", "query_n") >= F.greatest("n", "query_n") * min_hits))
+        held.join(asked, "mark")
+        .filter("q_id <> id")
+        .filter(F.least("n", "q_n") >= F.greatest("n", "q_n") * min_hits)
+        .groupBy(F.col("q_id").alias("query"), "id")
+        .agg(F.sum(F.least("times", "q_times")).alias("shared"), F.min(F.least("n", "q_n")).alias("n"))
+        .filter(F.col("shared") >= F.ceil(F.ceil(F.col("n") * min_hits) / 3))
         .select("query", "id")
-        .distinct()
     )
     links = (
         pairs.join(classes.select("id", "codes"), "id")
