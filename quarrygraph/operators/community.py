@@ -120,7 +120,7 @@ def communities(graph: Graph, cap: int = NODE_CAP) -> DataFrame:
     calls = calls.join(nodes.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(nodes.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     pairs = calls.groupBy(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("w"))
     rows = nodes.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(0.0).alias("w")).union(pairs)
-    return rows.groupBy(F.lit(1)).applyInPandas(_cluster, "id long, community int")
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_cluster, "id long, community int")
 
 
 def cluster_report(graph: Graph, members: DataFrame, top: int = TOP_CLUSTERS) -> DataFrame:
