@@ -38,6 +38,8 @@ WINDOW = 16
 #: A landmark is the integer at a position with the one this far on, or with the last one.
 GAP = 8
 CHUNK = 4096
+#: Added to mean energies of unit-length frames, so that silent pitch classes are not compared by their noise.
+FLOOR = 0.02
 MIN_HITS, MAX_BER = 0.4, 0.3
 COMMON_SHARE = 0.002
 
@@ -140,7 +142,7 @@ def packed_codes(chroma: np.ndarray) -> np.ndarray:
             a, part = area(0, w, p + h // 3, q - h // 3), w * (h - 2 * (h // 3))
         else:  # middle third of time against the rest
             a, part = area(w // 3, w - w // 3, p, q), (w - 2 * (w // 3)) * h
-        value = np.log((a / part + 1e-6) / (np.maximum(whole - a, 0) / (cells - part) + 1e-6))
+        value = np.log((a / part + FLOOR) / (np.maximum(whole - a, 0) / (cells - part) + FLOOR))
         codes = (codes << np.uint32(2)) | _GRAY[np.searchsorted(np.array(cuts), value, side="right")]
     return codes
 
