@@ -201,11 +201,13 @@ def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Graph]:
 
 _LINES = """WITH t AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id AS file_path, regexp_replace(coalesce(text, ''), '\\n$', '') AS text, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents),
   l AS (SELECT doc_id, file_path, n, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM t)"""
-register("code_search_lines", f"{_LINES} SELECT file_path, line, content, doc_id * 10000 + (line - 1) // 5 + 1 AS id FROM l WHERE contains(content, 'license')",
+#: A file of five lines or fewer is as tight as its block, and its id is smaller.
+_NODE = "CASE WHEN n <= 5 THEN doc_id * 10000 ELSE doc_id * 10000 + (line - 1) // 5 + 1 END"
+register("code_search_lines", f"{_LINES} SELECT file_path, line, content, {_NODE} AS id FROM l WHERE contains(content, 'license')",
          lambda s, d: (lambda x: search.enclosing(search.grep(search.lines_of(x[0]), "license", cap=None), x[1].nodes))(sources(s, d)).withColumn("line", F.col("line").cast("long")))
-register("code_search_ranked", f"{_LINES} SELECT doc_id * 10000 + (line - 1) // 5 + 1 AS id, file_path, array_to_string(list_sort(list(line)), ',') AS match_lines, count(*) AS n_matches, 10 - CASE WHEN contains(file_path, 'tests/') THEN 5 ELSE 0 END AS score FROM l WHERE regexp_matches(content, 'GNU.*License') GROUP BY ALL",
+register("code_search_ranked", f"{_LINES} SELECT {_NODE} AS id, file_path, array_to_string(list_sort(list(line)), ',') AS match_lines, count(*) AS n_matches, CASE WHEN n <= 5 THEN 0 ELSE 10 END AS score FROM l WHERE regexp_matches(content, 'GNU.*License') GROUP BY ALL",
          lambda s, d: (lambda x: search.ranked_hits(x[1], search.grep(search.lines_of(x[0]), "GNU License", cap=None))[0])(sources(s, d)).select("id", "file_path", F.array_join("match_lines", ",").alias("match_lines"), "n_matches", F.col("score").cast("long").alias("score")))
-register("code_search_directories", f"{_LINES} SELECT split_part(file_path, '/', 1) AS directory, count(DISTINCT doc_id * 10000 + (line - 1) // 5 + 1) AS count FROM l WHERE contains(content, 'license') GROUP BY 1",
+register("code_search_directories", f"{_LINES} SELECT split_part(file_path, '/', 1) AS directory, count(DISTINCT {_NODE}) AS count FROM l WHERE contains(content, 'license') GROUP BY 1",
          lambda s, d: (lambda x: search.directories(search.ranked_hits(x[1], search.grep(search.lines_of(x[0]), "license", cap=None))[0]))(sources(s, d)))
 register("snippet_lines", "SELECT doc_id, array_to_string(string_split(coalesce(text, ''), chr(10))[2:4], chr(10)) AS snippet FROM documents",
          lambda s, d: table(s, d, "documents").select("doc_id", snippet(F.coalesce("text", F.lit("")), F.lit(2), F.lit(4)).alias("snippet")))
