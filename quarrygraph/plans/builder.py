@@ -145,9 +145,10 @@ class Builder:
         stored = p.key is not None and p.key not in SCALARS and p.key not in DEGREES
         text_column = p.key in ("name", "qualified_name", "label", "file_path")
         if stored:
-            left = self.value(p, "boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "double")
-            if isinstance(value, str):  # a number's string form is no string
-                left = F.when(F.schema_of_variant(F.try_variant_get(variant(F.col(f"{p.var}__properties")), f"$['{p.key}']", "variant")) == "STRING", left)
+            kind = "boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "double"
+            found = F.schema_of_variant(json_as(p.var, p.key, "variant"))
+            fits = found.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") if kind == "double" else found == kind.upper()
+            left = F.when(fits, self.value(p, kind))
         else:
             left = self.value(p)
             if text_column:
