@@ -106,10 +106,10 @@ def leiden(n: int, edges: list[tuple[int, int, float]], gamma: float = 1.0) -> l
 
 
 def _cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-    ids = sorted(set(pdf.loc[pdf.b.isna(), "a"].astype("int64")))
+    ids = sorted(set(pdf.loc[pdf.b < 0, "a"].tolist()))  # rows without a partner: a null would turn ids into floats
     index = {x: i for i, x in enumerate(ids)}
-    links = pdf[pdf.b.notna()]
-    edges = [(index[int(a)], index[int(b)], float(w)) for a, b, w in sorted(zip(links.a, links.b, links.w))]
+    links = pdf[pdf.b >= 0]
+    edges = [(index[a], index[b], w) for a, b, w in sorted(zip(links.a.tolist(), links.b.tolist(), links.w.tolist()))]
     return pd.DataFrame({"id": ids, "community": leiden(len(ids), edges)})
 
 
@@ -119,7 +119,7 @@ def communities(graph: Graph, cap: int = NODE_CAP) -> DataFrame:
     calls = graph.edges.filter("type = 'CALLS' and source_id <> target_id")
     calls = calls.join(nodes.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(nodes.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     pairs = calls.groupBy(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    rows = nodes.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(0.0).alias("w")).union(pairs)
+    rows = nodes.select(F.col("id").alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(0.0).alias("w")).union(pairs)
     return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_cluster, "id long, community int")
 
 

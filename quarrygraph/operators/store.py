@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import check_project
-from ..schema import EDGE, FILE_HASH, NODE, OBSERVATION, Graph
+from ..schema import EDGE, FACTS, FILE_HASH, NODE, OBSERVATION, Graph
 
 NODE_KEY, EDGE_KEY, HASH_KEY = ["project", "qualified_name"], ["source_id", "target_id", "type"], ["project", "rel_path"]
 
@@ -92,7 +92,7 @@ def restore(snapshot: DataFrame, graph: Graph) -> Graph:
 class Store:
     """Tables of all projects under one folder of any Hadoop file system."""
 
-    TABLES = {"nodes": NODE, "edges": EDGE, "file_hashes": FILE_HASH, "observations": OBSERVATION}
+    TABLES = {"nodes": NODE, "edges": EDGE, "file_hashes": FILE_HASH, "observations": OBSERVATION, "facts": FACTS}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")

@@ -36,7 +36,8 @@ def attribute_map(column: str):
 def normalise(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Trace entries, and the spans that name no caller, callee or route. Span attributes hide those of the resource.
 
-    caller, callee and service fall back where absent; method, route and status where empty too.
+    caller, callee and service fall back where absent; method, route and status where empty too. A column ``seq`` of the
+    spans stays.
     """
     a = F.map_concat(F.map_filter(attribute_map("resource"), lambda k, v: ~F.array_contains(F.map_keys(F.col("__a")), k)), F.col("__a"))
     df = spans.withColumn("__a", attribute_map("attributes")).withColumn("__m", a)
@@ -56,6 +57,7 @@ def normalise(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.greatest(F.coalesce("count", F.lit(1)), F.lit(1)).alias("count"),
         F.col("timestamp"),
         F.to_json("__m").alias("attributes"),
+        *([F.col("seq")] if "seq" in spans.columns else []),
     )
     blank = (F.trim("caller") == "") & (F.trim("callee") == "") & (F.trim("route") == "")
     return out.filter(~blank), out.filter(blank)

@@ -19,6 +19,11 @@ OBSERVATION = (
     "caller_node_id long, callee_node_id long, calls_edge_id long, count long, error_count long, "
     "avg_duration_ms double, p99_duration_ms double, last_seen string, duration_samples array<long>, attributes string"
 )
+#: What a source file says on its own, before names are resolved.
+FACTS = (
+    "kind string, project string, file_path string, label string, name string, qualified_name string, "
+    "start_line int, end_line int, properties string, target string, args int, parent string"
+)
 NODE_COLUMNS = [c.split()[0] for c in NODE.split(", ")]
 
 #: Node columns that a query reads directly; any other name is a key of ``properties``.

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import file_qualified_name
-from ..schema import Graph
+from ..schema import FACTS, Graph
 from ..operators.store import resolve_edges, with_ids
 from ..operators.traverse import transitive_depth
 
@@ -348,7 +348,6 @@ class Extractor:
         return end
 
 
-_ROW = "kind string, project string, file_path string, label string, name string, qualified_name string, start_line int, end_line int, properties string, target string, args int, parent string"
 
 
 def _extract_batches(project: str):
@@ -374,16 +373,25 @@ def _extract_batches(project: str):
                         rows.append(("override", project, path, d.label, d.name, d.qn, 0, 0, None, d.name, None, d.props.get("parent_class")))
                 for name in ex.imports:
                     rows.append(("import", project, path, "IMPORTS", ex.file.name, ex.file.qn, 0, 0, None, name, None, None))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ROW.split(", ")])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FACTS.split(", ")])
 
     return run
 
 
+def facts(files: DataFrame, project: str) -> DataFrame:
+    """What each file (file_path, text) says on its own: declarations and unresolved references."""
+    return files.select("file_path", "text").mapInPandas(_extract_batches(project), FACTS)
+
+
 def extract(files: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (without ids) and named edges of files (file_path, text). The first declaration of a qualified name wins."""
+    """Nodes (without ids) and named edges of files (file_path, text)."""
     from ..session import settle
 
-    rows = settle(files.select("file_path", "text").mapInPandas(_extract_batches(project), _ROW), "extracted")
+    return link(settle(facts(files, project), "facts"))
+
+
+def link(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Resolve the facts of all files: nodes and named edges. The first declaration of a qualified name wins."""
     first = F.row_number().over(W.partitionBy("qualified_name").orderBy("file_path", "start_line"))
     nodes = rows.filter("kind = 'node'").withColumn("r", first).filter("r = 1")
     plain = F.to_json(F.struct(F.lit(1.0).alias("confidence"), F.lit("lexical").alias("strategy")))
@@ -413,7 +421,13 @@ def extract(files: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
 
 def index(files: DataFrame, project: str) -> Graph:
     """A full graph of files: nodes with ids, resolved edges, and transitive loop depths where above zero."""
-    nodes, named = extract(files, project)
+    return index_facts(facts(files, project))
+
+
+def index_facts(rows: DataFrame) -> Graph:
+    from ..session import settle
+
+    nodes, named = link(settle(rows, "facts"))
     nodes = with_ids(nodes)
     graph = Graph(nodes.select("id", "project", "label", "name", "qualified_name", "file_path", "start_line", "end_line", "properties"), resolve_edges(named, nodes))
     return with_transitive_depth(graph)

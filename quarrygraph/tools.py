@@ -16,6 +16,7 @@ from .operators import adr, analytics, community, incremental, search, store, tr
 from .plans.builder import cypher, rows_of
 from .plans.cypher import CypherError
 from .schema import FILE_HASH, OBSERVATION, Graph
+from .session import settle
 from .sources import csharp, files
 
 COMPACT = 8
@@ -80,26 +81,24 @@ class Tools:
         if mode == "cross-repo-intelligence":
             raise ValueError("this mode is not supported")
         project = check_project(project or project_name(repo_path))
-        found = files.discover(self.spark, repo_path).cache()
+        found = settle(files.discover(self.spark, repo_path), "found")  # a cache would answer for the files of an earlier call
         hashes = self.store.table(project, "file_hashes")
         prints = found.select(F.lit(project).alias("project"), "rel_path", "sha256", "mtime_ns", "size")
-        classified = incremental.classify(prints, hashes).cache()
+        classified = settle(incremental.classify(prints, hashes), "classified")
         counts = incremental.change_counts(classified).first().asDict()
         kind, reason = incremental.index_mode(hashes.count(), found.count(), counts)
         texts = files.texts(self.spark, repo_path).join(found.select(F.col("rel_path").alias("file_path")), "file_path", "left_semi")
         if kind != "none":
-            if kind == "full":
-                graph = csharp.index(texts, project)
-            else:
+            rows_ = csharp.facts(texts, project)
+            if kind == "incremental":
+                # files are read and scanned only where they changed; names are resolved over the facts of all
                 stale = classified.filter("status in ('changed', 'deleted', 'new')").select(F.col("rel_path").alias("file_path"))
-                # names resolve against the whole project, so its declarations are read; only stale files are replaced
-                nodes, edges = csharp.extract(texts, project)
-                old = self.store.load(project)
-                changed = nodes.join(stale, "file_path", "left_semi").select(*nodes.columns)
-                sources = changed.select(F.col("qualified_name").alias("source_qn"))
-                graph = csharp.with_transitive_depth(incremental.patch(old, stale, changed, edges.join(sources, "source_qn", "left_semi").select(*edges.columns)))
+                kept = self.store.table(project, "facts").join(stale, "file_path", "left_anti")
+                rows_ = kept.unionByName(csharp.facts(texts.join(stale, "file_path", "left_semi"), project))
+            rows_ = settle(rows_, "facts")
+            graph = csharp.index_facts(rows_)
             observations = store.detach_observations(self.store.table(project, "observations"), graph).select(*[c.split()[0] for c in OBSERVATION.split(", ")])
-            self.store.save(project, graph, file_hashes=prints.select(*[c.split()[0] for c in FILE_HASH.split(", ")]), observations=observations)
+            self.store.save(project, graph, file_hashes=prints.select(*[c.split()[0] for c in FILE_HASH.split(", ")]), observations=observations, facts=rows_)
         self.roots[project] = repo_path
         graph = self.store.load(project)
         return {
@@ -180,7 +179,7 @@ class Tools:
         if path:
             out |= {"path": path, "root_total_nodes": whole.nodes.count(), "root_total_edges": whole.edges.count()}
         labels, types = analytics.schema_counts(g)
-        bounds = analytics.boundaries(g).cache() if want & {"boundaries", "layers", "packages"} else None
+        bounds = settle(analytics.boundaries(g), "boundaries") if want & {"boundaries", "layers", "packages"} else None
         parts = {
             "structure": lambda: labels, "dependencies": lambda: types, "boundaries": lambda: bounds, "layers": lambda: analytics.layers(g, bounds),
             "packages": lambda: analytics.packages(g, bounds), "languages": lambda: analytics.languages(g), "entry_points": lambda: analytics.entry_points(g),
@@ -210,9 +209,9 @@ class Tools:
         began = time.perf_counter()
         g = self.graph(project)
         lines = search.lines_of(files.texts(self.spark, self.roots[project]).join(g.nodes.select("file_path").distinct(), "file_path", "left_semi"))
-        matches = search.grep(lines, pattern, regex, file_pattern, path_filter).cache()
+        matches = settle(search.grep(lines, pattern, regex, file_pattern, path_filter), "matches")
         hits, raw = search.ranked_hits(g, matches)
-        hits = hits.cache()
+        hits = settle(hits, "hits").orderBy(F.desc("score"), "file_path", "start_line", "id")
         n, n_hits, n_raw = matches.count(), hits.count(), raw.count()
         page = hits.limit(limit)
         if mode in ("full", "compact") and (mode == "full" or context):
@@ -240,12 +239,12 @@ class Tools:
         text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
         raw = [tuple((int(s["count"]) if s.get("count") is not None else None) if f == "count" else text(s.get(f)) for f in fields) for s in spans]
         frame = self.spark.createDataFrame([(*r, i) for i, r in enumerate(raw)], traces.SPAN + ", seq int")
-        good, bad = traces.normalise(frame.drop("seq"))
-        keyed = traces.resolve(good.withColumn("seq", F.monotonically_increasing_id()), g).cache()
+        good, bad = traces.normalise(frame)
+        keyed = settle(traces.resolve(good, g), "entries")
         old = self.store.table(project, "observations")
         merged = traces.merge(keyed, old, project=project)
         untouched = old.join(merged.select("project", *traces.KEY), ["project", *traces.KEY], "left_anti").select(*merged.columns)
-        self.store.save(project, g, file_hashes=self.store.table(project, "file_hashes"), observations=merged.unionByName(untouched))
+        self.store.save(project, g, file_hashes=self.store.table(project, "file_hashes"), facts=self.store.table(project, "facts"), observations=merged.unionByName(untouched))
         n, rejected = keyed.count(), bad.count()
         out = {
             "status": "ok", "traces_received": len(spans), "traces_ingested": n, "edges_matched": keyed.filter("calls_edge_id is not null").count(),
@@ -258,7 +257,7 @@ class Tools:
             return {"error": "invalid_scope"}
         try:
             g = self.graph(project)
-            changed = files.changed_files(self.spark, repo_path, base_branch, since).cache()
+            changed = settle(files.changed_files(self.spark, repo_path, base_branch, since), "changes").orderBy("path")
             context = files.git_context(repo_path)
         except LookupError:
             return {"error": "project_not_found"}
