@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import package_of
 from ..schema import CALLABLE, Graph
+from ..session import by_value
 
 NODE_CAP, LEVELS, TOP_CLUSTERS, TOP_MEMBERS = 8000, 64, 12, 5
 
@@ -147,3 +148,6 @@ def cluster_report(graph: Graph, members: DataFrame, top: int = TOP_CLUSTERS) ->
     whole = F.col("internal") + F.col("boundary")
     label = F.coalesce(F.get("top_packages", F.lit(0)), F.get("top_nodes", F.lit(0)), F.lit("cluster"))
     return out.withColumn("cohesion", F.when(whole > 0, F.col("internal") / whole).otherwise(0.0)).withColumn("label", label).orderBy(F.desc("members"), "community")
+
+
+by_value(__name__)

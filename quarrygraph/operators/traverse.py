@@ -117,17 +117,16 @@ def trace_path(graph: Graph, node_id: int, direction: str = "both", depth: int |
     return out
 
 
-def transitive_depth(graph: Graph, local: DataFrame, max_rounds: int = 200) -> DataFrame:
+def transitive_depth(graph: Graph, local: DataFrame) -> DataFrame:
     """(node_id, depth): the largest ``local`` value (node_id, depth) over a node and all it calls, exactly, cycles
     included: maxima move against CALLS until none grows. Only nodes that changed send again."""
     back = _steps(graph, ["CALLS"], True)
     now = settle(local.select("node_id", F.col("depth").cast("int").alias("depth")).filter("depth > 0"), "depth")
     news = now
-    for _ in range(max_rounds):
+    while True:  # maxima only grow and take values of ``local``, so this ends
         sent = news.join(back, "node_id").groupBy(F.col("next_id").alias("node_id")).agg(F.max("depth").alias("sent"))
         grown = sent.join(now, "node_id", "left").filter("depth is null or sent > depth").select("node_id", F.col("sent").alias("depth"))
         news = settle(grown, "depth-news")
         if news.isEmpty():
-            break
+            return now
         now = settle(now.union(news).groupBy("node_id").agg(F.max("depth").alias("depth")), "depth")
-    return now

@@ -159,9 +159,9 @@ register("call_impact", with_graph(
 _sql, _extra = _bfs_sql("source_id", "target_id", "'CALLS'", 3, f"{7 * KIND + 5}")
 register("trace_path_risk", with_graph("SELECT qualified_name, hop, CASE hop WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM r JOIN nn ON id = node_id WHERE hop > 0 AND NOT contains(file_path, 'tests/')", "code", _extra),
          lambda s, d: traverse.trace_path(code(s, d), 7 * KIND + 5, "outbound", 3, risk=True)["callees"].select("qualified_name", "hop", "risk"))
-register("transitive_max_depth", with_graph("SELECT a AS node_id, max(l) AS depth FROM rc JOIN (SELECT id, (p->>'loop_depth')::INT AS l FROM nn) ON id = b GROUP BY 1 HAVING max(l) > 0", "code",
-         ", m AS (SELECT id FROM nn WHERE label IN ('Method', 'Constructor') AND id % 20 = 0), rc AS (SELECT id AS a, id AS b FROM m UNION SELECT rc.a, ee.target_id FROM rc JOIN ee ON ee.source_id = rc.b AND ee.type = 'CALLS')"),
-         lambda s, d: (lambda g: traverse.transitive_depth(g, g.nodes.select(F.col("id").alias("node_id"), F.try_variant_get(F.try_parse_json("properties"), "$.loop_depth", "int").alias("depth")).filter("depth is not null")))(code(s, d)).join(code(s, d).nodes.filter("id % 20 = 0 and label in ('Method', 'Constructor')").select(F.col("id").alias("node_id")), "node_id", "left_semi"))
+register("transitive_max_depth", with_graph("SELECT a AS node_id, max(l) AS depth FROM rc GROUP BY 1", "code",
+         ", rc AS (SELECT id AS a, (p->>'loop_depth')::INT AS l FROM nn WHERE (p->>'loop_depth')::INT > 0 UNION SELECT ee.source_id, rc.l FROM rc JOIN ee ON ee.target_id = rc.a AND ee.type = 'CALLS')"),
+         lambda s, d: (lambda g: traverse.transitive_depth(g, g.nodes.select(F.col("id").alias("node_id"), F.try_variant_get(F.try_parse_json("properties"), "$.loop_depth", "int").alias("depth")).filter("depth is not null")))(code(s, d)))
 
 # ------------------------------------------------------------------------------------------ architecture
 
@@ -262,8 +262,8 @@ def _spans(events: DataFrame) -> DataFrame:
 register("trace_normalise", "SELECT 'u' || user_id AS caller, event_type AS callee, 'orders-api' AS service, '/' || event_type AS route, 'GET' AS method, CASE WHEN event_type = 'error' THEN '503' ELSE '200' END AS status_code, (event_id % 1000)::DOUBLE AS duration_ms FROM events",
          lambda s, d: traces.normalise(_spans(table(s, d, "events")))[0].select("caller", "callee", "service", "route", "method", "status_code", "duration_ms"))
 register("trace_resolve", with_graph(f"""SELECT p_partkey, max_by(a.id, (CASE WHEN a.label IN ('Method', 'Constructor') THEN 2 WHEN a.label IN ('File', 'Namespace') THEN 0 ELSE 1 END * 1000000 + greatest(0, a.end_line - a.start_line)) * 100000000000 - a.id) AS caller_node_id
-   FROM part JOIN nn a ON a.name = 'Run' || (p_partkey % 400) WHERE p_partkey < 400 GROUP BY 1""", "code"),
-         lambda s, d: traces.resolve(table(s, d, "part").filter("p_partkey < 400").select("p_partkey", F.concat(F.lit("Run"), (F.col("p_partkey") % 400).cast("string")).alias("caller"), F.lit("nobody").alias("callee")), code(s, d)).select("p_partkey", "caller_node_id"))
+   FROM part JOIN nn a ON a.name = 'Run' || (p_partkey % 400) GROUP BY 1""", "code"),
+         lambda s, d: traces.resolve(table(s, d, "part").select("p_partkey", F.concat(F.lit("Run"), (F.col("p_partkey") % 400).cast("string")).alias("caller"), F.lit("nobody").alias("callee")), code(s, d)).select("p_partkey", "caller_node_id"))
 
 # --------------------------------------------------------------------------------------------- maintenance
 

@@ -1,10 +1,12 @@
-"""Scratch tables in the folder that all executors share."""
+"""Scratch tables in the folder that all executors share, and functions that travel with their tasks."""
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +24,8 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def by_value(module_name: str) -> None:
+    """Ship a module's functions with the tasks, so that executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_qualified_name
 from ..schema import FACTS, Graph
+from ..session import by_value
 from ..operators.store import resolve_edges, with_ids
 from ..operators.traverse import transitive_depth
 
@@ -441,3 +442,6 @@ def with_transitive_depth(graph: Graph) -> Graph:
     props = F.concat(F.regexp_replace(base, r"\}\s*$", ""), F.when(F.trim(base) == "{}", "").otherwise(","), F.lit('"transitive_loop_depth":'), F.col("__d").cast("string"), F.lit("}"))
     nodes = graph.nodes.join(depths, "id", "left").withColumn("properties", F.when(F.col("__d") > 0, props).otherwise(F.col("properties")))
     return Graph(nodes.select(*graph.nodes.columns), graph.edges)
+
+
+by_value(__name__)
