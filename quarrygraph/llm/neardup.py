@@ -13,6 +13,9 @@
    verified by the exact weighted Jaccard similarity of the whole texts.
 4. Links are closed to components. Documents that still share a key with another component try again under
    keys of two bands and with the largest member, where other partners meet them.
+5. Documents that share a key with another component even then are joined exactly: all pairs of different
+   components that can reach the threshold by their prefixes of rare shingles are verified, so no pair that
+   meets under a key is lost, however large the key is.
 
 Equal texts are one node from the start and are not compared.
 
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (
@@ -46,6 +49,8 @@ BANDS, ROWS = 24, 5
 K = BANDS * ROWS
 BLOCK_BYTES = 2 << 20
 CHUNK_DOCS = 2000
+#: Rows of a shingle that meet in one cell of the exact join; a more frequent one is dealt to pairs of blocks.
+CELL = 500
 
 
 # --------------------------------------------------------------------------------------- shingle kernel
@@ -276,6 +281,72 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: Idf, threshold: float = THRE
     return both.select("rep", "doc", "text", "rep_text").mapInArrow(_verify_batches(idf, threshold), "rep long, doc long")
 
 
+# -------------------------------------------------------------------------------------------- exact pairs
+
+
+def _term_batches(idf: Idf):
+    def run(batches):
+        words = word_kernel()
+        for batch in batches:
+            held, size = [], 0
+
+            def flush():
+                at, codes, w, whole = (np.concatenate(x) for x in zip(*held))
+                own = [batch.column(c).take(pa.array(at)) for c in ("doc", "part", "root")]
+                return pa.RecordBatch.from_arrays(
+                    [*own, pa.array(codes.view(np.int64)), pa.array(w), pa.array(whole)], ["doc", "part", "root", "h", "w", "whole"]
+                )
+
+            for row, shingles in shingles_of(batch.column("text"), words):
+                codes, w = _weighted(shingles, idf)
+                held.append((np.full(len(codes), row), codes, w, np.full(len(codes), w.sum())))
+                size += len(codes)
+                if size > 200_000:
+                    yield flush()
+                    held, size = [], 0
+            if size:
+                yield flush()
+
+    return run
+
+
+def exact_pairs(root_of: DataFrame, texts: DataFrame, idf: Idf, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (rep, doc) of different roots, among them all whose weighted Jaccard similarity reaches the threshold.
+
+    ``root_of`` is (doc, root). Shingles are ordered by their documents here; a pair's first common shingle in order
+    of rarity has all common ones from there on, so the weights from there on are at least t / (1 + t) of both whole
+    weights on either side. Shingles of one root make no pair and come first.
+    """
+    terms = materialize(
+        root_of.join(texts, "doc").select("doc", F.xxhash64("text").alias("part"), "root", "text")
+        .mapInArrow(_term_batches(idf), "doc long, part long, root long, h long, w double, whole double"),
+        "terms",
+    )
+    mixed = F.min("root") != F.max("root")
+    shared = terms.groupBy("h").agg(F.count(F.lit(1)).alias("n"), mixed.alias("mixed")).filter("mixed").select("h", "n")
+    onward = Window.partitionBy("doc", "part").orderBy(F.desc("n"), "h").rowsBetween(Window.unboundedPreceding, 0)
+    low = 1 - 1e-9
+    prefix = materialize(
+        terms.join(shared, "h").withColumn("s", F.sum("w").over(onward)).filter(F.col("s") >= F.col("whole") * (threshold * low)).drop("w", "n"),
+        "prefixes",
+    )
+    cells = prefix.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("blocks"), mixed.alias("mixed")).filter("mixed")
+    dealt = (
+        prefix.join(cells, "h")
+        .withColumn("own", F.pmod(F.xxhash64("doc"), "blocks"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc", "root", "s", "whole")
+    )
+    left = dealt.select("h", "lo", "hi", *[F.col(c).alias(f"l_{c}") for c in ("own", "doc", "root", "s", "whole")])
+    pair = (
+        (F.col("l_doc") < F.col("doc")) & (F.col("l_root") != F.col("root"))
+        & ((F.col("l_own") == F.col("own")) == (left["lo"] == left["hi"]))
+        & (F.least("l_s", "s") >= (F.col("l_whole") + F.col("whole")) * (threshold / (1 + threshold) * low))
+    )
+    same = (left["h"] == dealt["h"]) & (left["lo"] == dealt["lo"]) & (left["hi"] == dealt["hi"])
+    return left.join(dealt, same & pair).select(F.col("l_doc").alias("rep"), "doc").distinct()
+
+
 # -------------------------------------------------------------------------------------------- components
 
 
@@ -328,6 +399,13 @@ def _finer_keys(keys):
     return F.flatten(F.array(pair(1), pair(5)))
 
 
+def _unsettled(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, doc, root) of the documents that meet another component under a key."""
+    rooted = keyed.join(found, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+    return materialize(rooted.join(mixed, "key", "left_semi"), "unsettled")
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, bool]:
     """(doc, class_id), a row per row of ``docs``; ``class_id`` is the smallest id of the class. Also whether
     some id repeats."""
@@ -349,10 +427,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tup
             signed.join(nodes.select("digest", F.col("doc").alias("rep")), "digest").filter("rep <> doc").select("rep", "doc")
         ).distinct()
     found = components(links)
-    # documents that still meet another component under a key
-    rooted = keyed.join(found, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    unsettled = materialize(rooted.join(mixed, "key", "left_semi"), "unsettled")
+    unsettled = _unsettled(keyed, found)
     root_of = unsettled.select("doc", "root").distinct()
     finer = nodes.join(root_of, "doc", "left_semi").select(F.explode(_finer_keys(F.col("keys"))).alias("key"), "doc")
     tries = star_pairs(finer).union(star_pairs(unsettled.select("key", "doc"), largest=True)).distinct()
@@ -362,8 +437,12 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tup
         .filter("root <> rep_root")
         .select("rep", "doc")
     )
-    more = materialize(verify(tries, texts, idf, threshold), "links")
-    found = components(links.union(more))
+    links = materialize(links.union(verify(tries, texts, idf, threshold)), "links")
+    found = components(links)
+    root_of = _unsettled(unsettled.select("key", "doc"), found).select("doc", "root").distinct()
+    last = materialize(verify(exact_pairs(root_of, texts, idf, threshold), texts, idf, threshold), "links")
+    if not last.isEmpty():
+        found = components(links.union(last))
     classes = nodes.join(found, "doc", "left").select("digest", F.coalesce("root", "doc").alias("class_id"))
     return signed.select("doc", "digest").join(classes, "digest").select("doc", "class_id"), repeats
 

@@ -281,6 +281,24 @@ def test_near_duplicate_classes_equal_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == set(want.values())
 
 
+def test_near_duplicates_of_a_large_family_are_all_found(spark):
+    """A template family below the threshold shares keys by the thousand; the pairs in its middle are above it."""
+    from quarrygraph.llm.neardup import classed
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    body, rows = [word() for _ in range(685)], []
+    for i in range(2000):
+        rows.append((2 * i + 1, body + [word() for _ in range(19)]))
+    twins = rng.sample(range(200, 1800), 150)
+    for i in twins:
+        own = rows[i][1]
+        rows.append((2 * i + 2, own[:-7] + [word() for _ in range(7)]))
+    got = {r.doc_id: r.class_id for r in classed(frame(spark, [(i, " ".join(w)) for i, w in rows])).collect()}
+    want = {i: i for i, _ in rows} | {2 * i + 2: 2 * i + 1 for i in twins}
+    assert got == want
+
+
 def test_near_duplicates_take_awkward_ids(spark):
     from quarrygraph.llm.neardup import classed, keep_one
 
