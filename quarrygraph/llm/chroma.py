@@ -7,11 +7,12 @@ integer per window position. Two recordings are aligned by the histogram of offs
 are equal; the bit error rate over the overlap at the best offset decides.
 
 Search: every query is compared to all recordings. Recordings with equal fingerprints are one class and
-are compared once. Two classes are linked if their landmarks agree exactly at ``MIN_HITS`` of the longer one's
-positions or more, at one offset, and the bit error rate over the overlap is at most ``MAX_BER``. As so many
-landmarks must be shared, both sides share a number of their rarest ones (a prefix in order of rarity), so only
-those are joined and counted; landmarks above a frequency floor, whose number is bounded, are ordered by their
-frequency, all others count as rare and are ordered by hash. No candidate is capped.
+are compared once. Two classes are linked if their integers agree exactly at ``needed`` positions or more, at one
+offset, and the bit error rate over the overlap there is at most ``MAX_BER``. What is needed is ``MIN_HITS`` of the
+longer one's positions or, with ``excerpts``, of the shorter one's: then ``EVIDENCE`` integers at least, or all of the
+shorter one, unless ``MIN_HITS`` of the longer one's positions are fewer. Both sides then share a number of their rarest
+integers, and only pairs that do are aligned; integers above a frequency floor, whose number is bounded, are ordered by
+their frequency, all others count as rare and are ordered by hash. No candidate is capped.
 
 Media come as WAV bytes (8 to 32 bit PCM, any number of channels) or as raw unsigned 8-bit samples.
 
@@ -35,12 +36,10 @@ from pyspark.sql import functions as F
 from .common import by_value, materialize, mix64
 
 WINDOW = 16
-#: A landmark is the integer at a position with the one this far on, or with the last one.
-GAP = 8
 CHUNK = 4096
 #: Added to mean energies of unit-length frames, so that silent pitch classes are not compared by their noise.
 FLOOR = 0.02
-MIN_HITS, MAX_BER = 0.4, 0.3
+MIN_HITS, MAX_BER, EVIDENCE = 0.2, 0.3, 5
 COMMON_SHARE = 0.002
 
 
@@ -172,26 +171,19 @@ def fingerprints(media: DataFrame, audio: Audio = Audio()) -> DataFrame:
 # ---------------------------------------------------------------------------------------------- search
 
 
-def landmarks(codes: np.ndarray) -> np.ndarray:
-    """One uint64 for each position."""
-    n = len(codes)
-    far = codes[np.minimum(np.arange(n) + GAP, n - 1)] if n else codes
-    return (codes.astype(np.uint64) << np.uint64(32)) | far.astype(np.uint64)
-
-
 def _common_in_chunks(batches):
-    """Landmarks that two recordings of a chunk or more share, with their number there: what the sum over chunks
+    """Integers that two recordings of a chunk or more share, with their number there: what the sum over chunks
     lacks is at most one for each chunk."""
     held: list[np.ndarray] = []
 
     def report():
         marks, n = np.unique(np.concatenate(held), return_counts=True)
         more = n > 1
-        return pa.RecordBatch.from_arrays([pa.array(marks[more].view(np.int64)), pa.array(n[more].astype(np.int64))], ["mark", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(marks[more].astype(np.int64)), pa.array(n[more].astype(np.int64))], ["mark", "n"])
 
     for batch in batches:
         for blob in batch.column("codes"):
-            held.append(np.unique(landmarks(np.frombuffer(blob.as_py(), "<u4"))))
+            held.append(np.unique(np.frombuffer(blob.as_py(), "<u4")))
             if len(held) == CHUNK:
                 yield report()
                 held = []
@@ -199,44 +191,43 @@ def _common_in_chunks(batches):
         yield report()
 
 
-def least_shared(n: int, min_hits: float) -> int:
-    """Landmarks that the prefixes of two linked recordings share at least: a third of the hits that a link needs."""
-    return -(-int(np.ceil(min_hits * n)) // 3)
+def needed(n, m, min_hits: float, excerpts: bool):
+    """Equal integers that recordings of ``n`` and ``m`` positions (columns) must have at one offset."""
+    low, most = F.least(n, m), F.ceil(F.greatest(n, m) * min_hits)
+    return F.greatest(F.ceil(low * min_hits), F.least(F.lit(EVIDENCE), low, most)) if excerpts else most
 
 
-def _prefix_batches(common: list[tuple[int, int]], min_hits: float):
-    """Rows (mark, id, n, times) of each recording's prefix: its rarest landmarks with their repeats.
+def _posting_batches(common: list[tuple[int, int]]):
+    """Rows (mark, id, n, times, onward) of each recording: its integers with their repeats and the number of its
+    positions from there on in order of rarity.
 
-    A partner has o = ceil(min_hits * n) positions in common or more. The first l of the common landmarks come before
-    the other o - l, so they are among the first n - o + l of either side.
+    Of the o common positions that a link needs, the first l come before the other o - l, so at least o - l + 1
+    positions of either side are onward from each integer among them.
     """
-    table = {mark % (1 << 64): n for mark, n in common}
+    table = dict(common)
 
     def run(batches):
         for batch in batches:
             parts = []
             for i, blob in zip(batch.column("id").to_pylist(), batch.column("codes")):
-                own, times = np.unique(landmarks(np.frombuffer(blob.as_py(), "<u4")), return_counts=True)
-                n = int(times.sum())
+                own, times = np.unique(np.frombuffer(blob.as_py(), "<u4"), return_counts=True)
                 df = np.array([table.get(c, 0) for c in own.tolist()])
-                order = np.lexsort((mix64(own), df))
-                left = n - int(np.ceil(min_hits * n)) + least_shared(n, min_hits)
-                pick = order[: int(np.searchsorted(np.cumsum(times[order]), left)) + 1]
-                m = len(pick)
-                parts.append((own[pick].view(np.int64), np.full(m, i), np.full(m, n), times[pick]))
+                order = np.lexsort((mix64(own.astype(np.uint64)), df))
+                onward = np.cumsum(times[order][::-1])[::-1]
+                m = len(own)
+                parts.append((own[order].astype(np.int64), np.full(m, i), np.full(m, onward[0]), times[order], onward))
             if parts:
-                mark, ids, n, times = (np.concatenate(x) for x in zip(*parts))
-                arrays = [pa.array(mark), pa.array(ids.astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in (n, times))]
-                yield pa.RecordBatch.from_arrays(arrays, ["mark", "id", "n", "times"])
+                mark, ids, *rest = (np.concatenate(x) for x in zip(*parts))
+                arrays = [pa.array(mark), pa.array(ids.astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in rest)]
+                yield pa.RecordBatch.from_arrays(arrays, ["mark", "id", "n", "times", "onward"])
 
     return run
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
-    """Best offset of ``b`` in ``a`` (positions of a minus positions of b), equal landmarks there, bit error rate there."""
-    p, q = landmarks(a), landmarks(b)
-    order = np.argsort(q, kind="stable")
-    lo, hi = np.searchsorted(q[order], p, "left"), np.searchsorted(q[order], p, "right")
+    """Best offset of ``b`` in ``a`` (positions of a minus positions of b), equal integers there, bit error rate there."""
+    order = np.argsort(b, kind="stable")
+    lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
     count = hi - lo
     if not count.any():
         return 0, 0, 1.0
@@ -250,15 +241,15 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
     return best, int(votes[best + len(b)]), float(np.bitwise_count(x[:m] ^ y[:m]).sum()) / (32.0 * m)
 
 
-def _align_batches(min_hits: float, max_ber: float):
+def _align_batches(max_ber: float):
     def run(batches):
         for batch in batches:
-            q, d = batch.column("query").to_pylist(), batch.column("id").to_pylist()
+            q, d, need = (batch.column(c).to_pylist() for c in ("query", "id", "need"))
             keep, offset, hits, ber = [], [], [], []
             for i, (a, b) in enumerate(zip(batch.column("query_codes"), batch.column("codes"))):
                 a, b = np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")
                 o, h, e = align(a, b)
-                if h >= min_hits * max(len(a), len(b)) and e <= max_ber:
+                if h >= need[i] and e <= max_ber:
                     keep.append(i)
                     offset.append(o)
                     hits.append(h)
@@ -274,7 +265,7 @@ def _align_batches(min_hits: float, max_ber: float):
     return run
 
 
-def search(prints: DataFrame, is_query, min_hits: float = MIN_HITS, max_ber: float = MAX_BER) -> DataFrame:
+def search(prints: DataFrame, is_query, min_hits: float = MIN_HITS, max_ber: float = MAX_BER, excerpts: bool = False) -> DataFrame:
     """One row per recording: (id, class_id, n_codes, codes_crc32, is_query, links).
 
     ``class_id`` is the smallest id with this fingerprint. ``links``, held by the class's own row (id = class_id),
@@ -294,24 +285,24 @@ def search(prints: DataFrame, is_query, min_hits: float = MIN_HITS, max_ber: flo
         .groupBy("mark").agg(F.sum("n").alias("n")).filter(F.col("n") > max(1, COMMON_SHARE * n))
     )  # at most mean landmarks per recording / COMMON_SHARE of them, however many recordings there are
     table = [(r.mark, r.n) for r in common.collect()]
-    prefix = _prefix_batches(table, min_hits)
-    sides = "mark long, id long, n int, times int"
-    held = classes.select("id", "codes").mapInArrow(prefix, sides)
-    asked = classes.filter("asks").select("id", "codes").mapInArrow(prefix, sides)
-    asked = asked.select("mark", *[F.col(c).alias(f"q_{c}") for c in ("id", "n", "times")])
+    postings = _posting_batches(table)
+    sides = "mark long, id long, n int, times int, onward int"
+    held = classes.select("id", "codes").mapInArrow(postings, sides)
+    asked = classes.filter("asks").select("id", "codes").mapInArrow(postings, sides)
+    asked = asked.select("mark", *[F.col(c).alias(f"q_{c}") for c in ("id", "n", "times", "onward")])
+    need = needed(F.col("n"), F.col("q_n"), min_hits, excerpts)
+    first = F.ceil(need / 3)  # so many of the rarest are counted
     pairs = (
-        held.join(asked, "mark")
-        .filter("q_id <> id")
-        .filter(F.least("n", "q_n") >= F.greatest("n", "q_n") * min_hits)
+        held.join(asked, (held["mark"] == asked["mark"]) & (F.col("q_id") != F.col("id")) & (F.least("onward", "q_onward") > need - first))
         .groupBy(F.col("q_id").alias("query"), "id")
-        .agg(F.sum(F.least("times", "q_times")).alias("shared"), F.min(F.least("n", "q_n")).alias("n"))
-        .filter(F.col("shared") >= F.ceil(F.ceil(F.col("n") * min_hits) / 3))
-        .select("query", "id")
+        .agg(F.sum(F.least("times", "q_times")).alias("shared"), F.min(need).alias("need"))
+        .filter(F.col("shared") >= F.ceil(F.col("need") / 3))
+        .select("query", "id", "need")
     )
     links = (
         pairs.join(classes.select("id", "codes"), "id")
         .join(classes.filter("asks").select(F.col("id").alias("query"), F.col("codes").alias("query_codes")), "query")
-        .mapInArrow(_align_batches(min_hits, max_ber), "query long, id long, offset int, hits int, ber double")
+        .mapInArrow(_align_batches(max_ber), "query long, id long, offset int, hits int, ber double")
         .groupBy(F.col("id").alias("class_id"))
         .agg(F.array_sort(F.collect_list(F.struct(F.col("query").alias("query_class"), "offset", "hits", F.round("ber", 6).alias("ber")))).alias("links"))
     )

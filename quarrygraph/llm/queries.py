@@ -56,7 +56,7 @@ def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = documents(spark, sf_dir).select(
         F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("media")
     )
-    found = search(fingerprints(media, BYTES), F.coalesce(F.col("id") % 50 == 0, F.lit(False)))
+    found = search(fingerprints(media, BYTES), F.coalesce(F.col("id") % 50 == 0, F.lit(False)), excerpts=True)
     return found.withColumnRenamed("id", "doc_id")
 
 

@@ -84,6 +84,20 @@ def test_search_misses_no_link(spark):
     assert {(x.query_class, r.id) for r in got for x in r.links} == want and want
 
 
+def test_excerpts_find_their_recording(spark):
+    from pyspark.sql import functions as F
+
+    from quarrygraph.llm.chroma import BYTES, fingerprints, search
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh ,.") for _ in range(6000)).encode() for _ in range(3)]
+    media = [(50, texts[0]), (1, texts[0][1600:3200]), (2, texts[1]), (100, texts[1][:1500]), (3, texts[2])]
+    got = search(fingerprints(spark.createDataFrame(media, "id long, media binary"), BYTES), F.col("id") % 50 == 0, excerpts=True)
+    links = {r.id: {x.query_class: x for x in r.links} for r in got.collect()}
+    assert set(links[1]) == {50} and links[1][50].offset == 50 and links[1][50].ber < 0.01
+    assert set(links[2]) == {100} and not links[3]
+
+
 # -------------------------------------------------------------------------------------------- language
 
 
