@@ -16,6 +16,8 @@ their frequency, all others count as rare and are ordered by hash. No candidate
 
 Media come as WAV bytes (8 to 32 bit PCM, any number of channels) or as raw unsigned 8-bit samples.
 
+Media too short for an integer are repeated up to ``Audio.fill`` integers where that is set.
+
 Defined results: null, empty and too short media have no fingerprint, are a class each and have no links;
 repeated rows are equal recordings; ties between offsets go to the smallest; an empty table gives an empty
 result; extra columns are ignored. A null ``id`` takes part in a class but is no query.
@@ -45,17 +47,23 @@ COMMON_SHARE = 0.002
 
 @dataclass(frozen=True)
 class Audio:
-    """Frame geometry and the folded range; ``raw_rate`` is the sample rate of raw media."""
+    """Frame geometry and the folded range; ``raw_rate`` is the sample rate of raw media. Media without an integer
+    are repeated until they have ``fill``; with 0 they stay without."""
 
     frame: int = 4096
     hop: int = 1365
     low: float = 28.0
     high: float = 3520.0
     raw_rate: int = 11025
+    fill: int = 0
+
+    def length(self, n_codes: int) -> int:
+        """Samples of a recording with so many integers."""
+        return self.frame + (n_codes + WINDOW + len(_SMOOTH) - 3) * self.hop
 
 
-#: Raw bytes are short recordings: small frames give them fingerprints. The folded range covers the spectrum.
-BYTES = Audio(frame=256, hop=32, low=300.0, high=5500.0)
+#: Raw bytes are short recordings: small frames and repeats give them fingerprints. The folded range covers the spectrum.
+BYTES = Audio(frame=256, hop=32, low=300.0, high=5500.0, fill=8)
 
 #: (kind, first pitch class, pitch classes, frames, thresholds): areas compared by the filters.
 FILTERS = (
@@ -155,6 +163,8 @@ def _print_batches(audio: Audio):
             for blob in batch.column("media"):
                 blob = blob.as_py() or b""
                 x, rate = samples_of(blob, audio)
+                if audio.fill and 0 < len(x) < audio.length(1):
+                    x = np.resize(x, audio.length(audio.fill))
                 if rate not in folds:
                     folds[rate] = fold_matrix(audio, rate)
                 out.append(packed_codes(chroma_frames(x, audio, folds[rate], taper)).astype("<u4").tobytes())

@@ -98,6 +98,20 @@ def test_excerpts_find_their_recording(spark):
     assert set(links[2]) == {100} and not links[3]
 
 
+def test_short_media_have_fingerprints(spark):
+    from pyspark.sql import functions as F
+
+    from quarrygraph.llm.chroma import BYTES, fingerprints, search
+
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh ,.") for _ in range(n)).encode()
+    a, b = text(800), text(500)
+    media = [(1, b"x"), (2, a), (3, a), (50, a[:600] + text(200)), (4, b), (5, b""), (6, None), (7, text(863)), (8, text(864))]
+    got = {r.id: r for r in search(fingerprints(spark.createDataFrame(media, "id long, media binary"), BYTES), F.col("id") % 50 == 0, excerpts=True).collect()}
+    assert {i: r.n_codes for i, r in got.items()} == {1: 8, 2: 8, 3: 8, 50: 8, 4: 8, 5: 0, 6: 0, 7: 8, 8: 1}
+    assert got[2].class_id == got[3].class_id == 2 and got[4].class_id == 4
+
+
 # -------------------------------------------------------------------------------------------- language
 
 
