@@ -8,43 +8,56 @@ the same document) is removed. No suffix array spans the corpus; equal strings a
    content hash, document, start, run). Equal windows always have equal minimizer hashes.
 2. Records of equal minimizer and content are copies: all but the first are covered whole. Each task
    settles its own copies first, so a passage that a third of all rows hold sends one record per task. The
-   rest travels packed, about 20 bytes for each 40 of text.
-3. Records of one minimizer that differ in content (the ends of shared passages) can only share a window if they
-   agree on the minimizer with ``SIDE`` bytes to its left, or to its right. Those that do go to suffix arrays: their
-   bytes, in blocks of at most about ``BLOCK_STRINGS`` strings, are sorted by grouping suffixes by
+   rest travels packed, about 20 bytes for each 40 of text, to the bucket of its minimizer. A minimizer with more
+   than ``CHUNK_CONTENTS`` contents in one chunk is frequent: its records go to buckets by content, and a
+   marker tells the minimizer's own bucket, so no bucket gathers a frequent minimizer.
+3. A window holds its minimizer ``r`` bytes after its start, r = 0 .. 80. Equal windows have equal r, and windows
+   with r in one cell of ``CELLS[0]`` agree on all bytes that every window of the cell holds. Records of one
+   minimizer that differ in content (the ends of shared passages) are cut to the cells that they share with another.
+4. Their bytes, in blocks of at most about ``BLOCK_STRINGS`` strings, are sorted by grouping suffixes by
    their Lyndon prefixes. Neighbours with equal 100-byte prefixes form the classes of equal windows.
-4. A minimizer with more records than a block is salted over several. Its blocks report the first place of
-   each class by digest, and the smallest place of all blocks is found by a grouped minimum.
+5. A frequent minimizer, or one with more records than a block, is split by the bytes of its cells, into finer and
+   finer cells, until the groups fit a block or a cell is one window, whose smallest place is a grouped minimum. A
+   record makes a row for each cell that it shares, never one for each window and group.
 
-Records are compared by a 64-bit minimizer hash and a 64-bit content hash together, salted classes by 128
-bits; within blocks the bytes themselves are compared.
+Records are compared by a 64-bit minimizer hash and a 64-bit content hash together, single windows of frequent
+minimizers by 128 bits; within blocks the bytes themselves are compared.
 
 Defined results: null texts are empty; texts under 100 bytes lose nothing; the same row given twice is
-judged as one; different texts under one ``doc_id`` are ordered by text; rows with a null ``doc_id`` come
-after all others, ordered by text; an empty table gives an empty result; extra columns are ignored.
+judged as one and answered twice; different texts under one ``doc_id`` are ordered by text; rows with a null
+``doc_id`` come after all others, ordered by text; ids may be any long; very long texts are read in segments of
+``SEGMENT`` bytes; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import RangeHash, by_value, materialize, mix64, row_blocks, text_buffer, text_or_empty
 
 LENGTH = 100
 GRAM = 20
-#: A window holds its minimizer and this many bytes more on one side at least.
-SIDE = (LENGTH - GRAM + 1) // 2
+#: First places of the minimizer in a window, by cell: quarters, then fives, then single windows.
+CELLS = ((0, 20, 40, 60), tuple(range(0, 80, 5)), tuple(range(LENGTH - GRAM + 1)))
+#: Contents of one minimizer in a chunk beyond which it is frequent.
+CHUNK_CONTENTS = 64
 SEGMENT = 1 << 21
 CHUNK_RECORDS = 600_000
 BUCKET_BYTES = 24 << 20
 BLOCK_STRINGS = 512
 BLOCK_BYTES = 64 << 10
+TASK_BYTES = 2 << 20
+
+
+def cells(level: int) -> list[tuple[int, int]]:
+    """First and last place of the minimizer in the windows of each cell."""
+    return list(zip(CELLS[level], [*(a - 1 for a in CELLS[level][1:]), LENGTH - GRAM]))
 
 
 # --------------------------------------------------------------------------------------- suffix array
@@ -149,7 +162,7 @@ _SHIFT = bytes(min(b + 1, 255) for b in range(256))
 
 
 def equal_windows(strings: list[bytes], length: int = LENGTH):
-    """Classes of equal windows: (class, string, offset, bytes) of all windows, classes in suffix order."""
+    """Classes of equal windows: (class, string, offset) of all windows, classes in suffix order."""
     text = b"\xff".join(x.translate(_SHIFT) for x in strings) + b"\xff\x00"
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     string = np.repeat(np.arange(len(strings)), sizes + 1)
@@ -159,19 +172,19 @@ def equal_windows(strings: list[bytes], length: int = LENGTH):
     order = order[whole[order]]
     if not len(order):
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros((0, length), np.uint8)
+        return none, none, none
     windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), length)[order]
     fresh = np.ones(len(order), bool)
     fresh[1:] = (windows[1:] != windows[:-1]).any(axis=1)
-    return np.cumsum(fresh) - 1, string[order], offset[order], windows
+    return np.cumsum(fresh) - 1, string[order], offset[order]
 
 
 # -------------------------------------------------------------------------------------------- records
 
 
 def record_kernel():
-    """A function from a block (bytes, offsets) to its records: row, start in the row, run, minimizer, content,
-    and hashes of the minimizer with ``SIDE`` bytes to its left and right (0 where the record ends before)."""
+    """A function from a block (bytes, offsets) to its records: row, start in the row, run, minimizer, content, place of
+    the minimizer in the record, and a hash of the bytes of each cell of ``CELLS[0]`` (0 where it has no window there)."""
     grams, content = RangeHash(0xA11), RangeHash(0xC0DE)
     n_grams = LENGTH - GRAM + 1
     bits = np.uint64(22)
@@ -206,12 +219,14 @@ def record_kernel():
         whole = mix64(content.ranges(sums, first, last + LENGTH) ^ (last - first).astype(np.uint64))
         row = np.searchsorted(offsets, first, side="right") - 1
         gram = at[first]
-        reach = np.minimum(gram + GRAM + SIDE, n)
-        left = np.maximum(mix64(content.ranges(sums, np.maximum(gram - SIDE, 0), gram + GRAM)).astype(np.uint32), 1)
-        right = np.maximum(mix64(content.ranges(sums, gram, reach)).astype(np.uint32), 1)
-        left[gram - first < SIDE] = 0
-        right[last + LENGTH - gram - GRAM < SIDE] = 0
-        return row, first - offsets[row], last - first + 1, hashes[gram], whole, left, right
+        sides = []
+        for a, b in cells(0):
+            inside = np.flatnonzero((gram - last <= b) & (gram - first >= a))
+            side = np.zeros(len(first), np.uint32)
+            own = gram[inside]
+            side[inside] = np.maximum(mix64(content.ranges(sums, own - a, own + LENGTH - b)).astype(np.uint32), 1)
+            sides.append(side)
+        return row, first - offsets[row], last - first + 1, hashes[gram], whole, gram - first, *sides
 
     return records
 
@@ -249,9 +264,14 @@ _PACKED = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("start", pa.i
 _PACKED_SQL = "bucket int, doc long, start int, end int, blob binary"
 
 
+#: Marks a record of a minimizer that is frequent in its chunk, beside the minimizer's place.
+_HOT = 0x80
+_KINDS = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.int32, np.uint8, np.uint8)
+
+
 def _pack_batches(n_buckets: int):
     def settle(parts):
-        doc, start, run, key, whole, left, right = (np.concatenate(x) for x in zip(*parts))
+        doc, start, run, key, whole, gram, *sides = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((start, doc, whole, key))
         k, w = key[order], whole[order]
         copy = np.zeros(len(order), bool)
@@ -264,21 +284,23 @@ def _pack_batches(n_buckets: int):
                 [pa.array(to), pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.nulls(len(d), pa.binary())],
                 schema=_PACKED,
             )
-        bucket = (mix64(key[kept] ^ np.uint64(0xB0C)) % np.uint64(n_buckets)).astype(np.int64)
-        kept = kept[np.lexsort((start[kept], doc[kept], bucket))]
-        bucket = np.sort(bucket)
+        names, where, times = np.unique(key[kept], return_inverse=True, return_counts=True)
+        hot = times[where] > CHUNK_CONTENTS
+        home = lambda x: (mix64(x ^ np.uint64(0xB0C)) % np.uint64(n_buckets)).astype(np.int64)
+        bucket = np.where(hot, home(key[kept] ^ mix64(whole[kept])), home(key[kept]))
+        rows = [x[kept] for x in (doc, key, whole, *sides, start, run)] + [gram[kept] | np.where(hot, _HOT, 0)]
+        frequent = names[times > CHUNK_CONTENTS]  # a marker is a record without a run
+        rows = [np.concatenate((x, frequent if i == 1 else np.zeros(len(frequent), x.dtype))) for i, x in enumerate(rows)]
+        bucket = np.concatenate((bucket, home(frequent)))
+        order = np.lexsort((rows[-3], rows[0], bucket))
+        bucket, (doc_, *fields) = bucket[order], [x[order] for x in rows]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         blobs = []
-        for part in np.split(kept, cuts):
-            ids, times = np.unique(doc[part], return_counts=True)
-            head = np.array([len(part), len(ids)], np.int64)
-            blobs.append(
-                b"".join(
-                    x.tobytes()
-                    for x in (head, ids, times.astype(np.int32), key[part], whole[part], left[part], right[part], start[part].astype(np.int32), run[part].astype(np.uint8))
-                )
-            )
-        names = bucket[np.concatenate(([0], cuts))].astype(np.int32) if len(kept) else np.zeros(0, np.int32)
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]) if len(bucket) else ():
+            ids, times = np.unique(doc_[i:j], return_counts=True)
+            head = np.array([j - i, len(ids)], np.int64)
+            blobs.append(b"".join([head.tobytes(), ids.tobytes(), times.astype(np.int32).tobytes(), *(x[i:j].astype(kind).tobytes() for x, kind in zip(fields, _KINDS))]))
+        names = bucket[np.concatenate(([0], cuts))].astype(np.int32) if len(bucket) else np.zeros(0, np.int32)
         for i in range(0, len(names), 512):
             n = len(names[i : i + 512])
             yield pa.RecordBatch.from_arrays(
@@ -311,11 +333,11 @@ def _unpack(blob: bytes):
     n, m = np.frombuffer(blob, np.int64, 2)
     at = 16
     out = []
-    for kind, count in ((np.int64, m), (np.int32, m), (np.uint64, n), (np.uint64, n), (np.uint32, n), (np.uint32, n), (np.int32, n), (np.uint8, n)):
+    for kind, count in ((np.int64, m), (np.int32, m), *((kind, n) for kind in _KINDS)):
         out.append(np.frombuffer(blob, kind, count, at))
         at += out[-1].nbytes
-    ids, times, key, whole, left, right, start, run = out
-    return np.repeat(ids, times), start.astype(np.int64), run.astype(np.int64), key, whole, left, right
+    ids, times, *fields, start, run, gram = out
+    return np.repeat(ids, times), *fields, start.astype(np.int64), run.astype(np.int64), gram
 
 
 def _meets(key: np.ndarray, side: np.ndarray) -> np.ndarray:
@@ -324,18 +346,22 @@ def _meets(key: np.ndarray, side: np.ndarray) -> np.ndarray:
     return (side > 0) & (times[where] > 1)
 
 
-_FOUND_SQL = "key long, doc long, start int, end int"
+_FOUND_SQL = "key long, hot boolean, doc long, start int, end int, gram int"
 
 
 def _settle_bucket(table: pa.Table) -> pa.Table:
-    """Copies across tasks become intervals (null key); first records of minimizers with several contents stay."""
+    """Copies across tasks become intervals (null key); of the first records of minimizers with several contents, what
+    lies in the cells that they share stays. ``gram`` is the minimizer's place from ``start``."""
     blobs = [x for x in table.column("blob").to_pylist() if x is not None]
     plain = table.filter(table.column("doc").is_valid())
     doc, start, end = (plain.column(c).to_numpy().astype(np.int64) for c in ("doc", "start", "end"))
-    kd = ks = ke = kk = np.zeros(0, np.int64)
+    kd = ks = ke = kk = kg = np.zeros(0, np.int64)
+    hot = np.zeros(0, bool)
     if blobs:
-        rdoc, rstart, run, key, whole, left, right = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
+        rdoc, key, whole, *sides, rstart, run, gram = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
+        marked = np.unique(key[run == 0])
         order = np.lexsort((rstart, rdoc, whole, key))
+        order = order[run[order] > 0]
         k, w = key[order], whole[order]
         copy = np.zeros(len(order), bool)
         copy[1:] = (k[1:] == k[:-1]) & (w[1:] == w[:-1])
@@ -346,17 +372,33 @@ def _settle_bucket(table: pa.Table) -> pa.Table:
         k = key[kept]
         same = np.zeros(len(k) + 1, bool)
         same[1:-1] = k[1:] == k[:-1]
-        several = kept[same[1:] | same[:-1]]
-        several = several[_meets(key[several], left[several]) | _meets(key[several], right[several])]
-        kk, kd, ks = key[several].view(np.int64), rdoc[several], rstart[several]
-        ke = ks + run[several] + LENGTH - 1
+        far = (gram[kept] >= _HOT) | np.isin(k, marked)
+        some = same[1:] | same[:-1] | far
+        kept, k, far = kept[some], k[some], far[some]
+        low, high = np.full(len(k), LENGTH, np.int64), np.full(len(k), -1, np.int64)
+        for side, (a, b) in zip(sides, cells(0)):
+            own = side[kept]
+            met = _meets(k, own) | (far & (own > 0))
+            low[met] = np.minimum(low[met], a)
+            high[met] = b
+        place = gram[kept].astype(np.int64) & (_HOT - 1)
+        low, high = np.maximum(low, place - run[kept] + 1), np.minimum(high, place)
+        some = low <= high
+        kept, k, far, low, high, place = (x[some] for x in (kept, k, far, low, high, place))
+        _, where, times = np.unique(k, return_inverse=True, return_counts=True)
+        hot = far | (times[where] > BLOCK_STRINGS)
+        kk, kd, ks, kg = k.view(np.int64), rdoc[kept], rstart[kept] + place - high, high
+        ke = ks + (high - low) + LENGTH
     doc, start, end = _merged(doc, start, end)
+    n = len(doc)
     return pa.table(
         {
-            "key": pa.concat_arrays([pa.nulls(len(doc), pa.int64()), pa.array(kk, pa.int64())]),
+            "key": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(kk, pa.int64())]),
+            "hot": pa.array(np.concatenate((np.zeros(n, bool), hot))),
             "doc": pa.array(np.concatenate((doc, kd)), pa.int64()),
             "start": pa.array(np.concatenate((start, ks)).astype(np.int32)),
             "end": pa.array(np.concatenate((end, ke)).astype(np.int32)),
+            "gram": pa.array(np.concatenate((np.zeros(n, np.int64), kg)).astype(np.int32)),
         }
     )
 
@@ -364,13 +406,12 @@ def _settle_bucket(table: pa.Table) -> pa.Table:
 # ------------------------------------------------------------------------------------- suffix-array blocks
 
 
-_BLOCK_SQL = "h1 long, h2 long, doc long, start int, end int"
+_BLOCK_SQL = "doc long, start int, end int"
 
 
-def _settle_block(docs, starts, salts, strings, hashers):
-    """Intervals of all but the first window of each class (null hashes), and the first place of each class of a
-    salted minimizer with its 128-bit hash."""
-    cls, string, offset, windows = equal_windows(strings)
+def _settle_block(docs, starts, strings):
+    """Intervals of all but the first window of each class."""
+    cls, string, offset = equal_windows(strings)
     doc, start = np.array(docs, np.int64)[string], np.array(starts, np.int64)[string] + offset
     order = np.lexsort((start, doc, cls))
     cls, doc, start = cls[order], doc[order], start[order]
@@ -380,82 +421,122 @@ def _settle_block(docs, starts, salts, strings, hashers):
     own = heads[cls] if len(heads) else heads
     later = (doc != doc[own]) | (start != start[own])
     d, s, e = _merged(doc[later], start[later], start[later] + LENGTH)
-    salted = heads[np.array(salts, np.int64)[string[order[heads]]] > 1]
-    hashes = []
-    for h in hashers:
-        flat = np.ascontiguousarray(windows[order[salted]]).ravel()
-        at = np.arange(len(salted)) * LENGTH
-        hashes.append(mix64(h.ranges(h.sums(flat), at, at + LENGTH)).view(np.int64))
-    none = pa.nulls(len(d), pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [
-            *(pa.concat_arrays([none, pa.array(h, pa.int64())]) for h in hashes),
-            pa.array(np.concatenate((d, doc[salted]))),
-            pa.array(np.concatenate((s, start[salted])).astype(np.int32)),
-            pa.array(np.concatenate((e, start[salted] + LENGTH)).astype(np.int32)),
-        ],
-        ["h1", "h2", "doc", "start", "end"],
-    )
+    return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["doc", "start", "end"])
 
 
 def _sort_blocks(batches):
-    """Rows (key, salt, salts, doc, start, bytes), sorted by (key, salt), gathered to blocks."""
-    hashers = RangeHash(0x51), RangeHash(0x52)
-    held, size, last = ([], [], [], []), 0, None
+    """Rows (key, doc, start, bytes), sorted by key, gathered to blocks."""
+    held, size, last = ([], [], []), 0, None
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("key", "salt", "doc", "start", "salts", "bytes")]
-        for key, salt, *row in zip(*cols):
-            if size >= BLOCK_BYTES and (key, salt) != last:
-                yield _settle_block(*held, hashers)
-                held, size = ([], [], [], []), 0
-            last = (key, salt)
+        cols = [batch.column(c).to_pylist() for c in ("key", "doc", "start", "bytes")]
+        for key, *row in zip(*cols):
+            if size >= BLOCK_BYTES and key != last:
+                yield _settle_block(*held)
+                held, size = ([], [], []), 0
+            last = key
             for column, value in zip(held, row):
                 column.append(value)
-            size += len(row[3])
+            size += len(row[2])
     if size:
-        yield _settle_block(*held, hashers)
+        yield _settle_block(*held)
+
+
+# ------------------------------------------------------------------------------------ frequent minimizers
+
+
+_CELL_SQL = "k1 long, k2 long, doc long, start int, gram int, bytes binary"
+
+
+def _cell_batches(level: int):
+    """Rows (doc, start, gram, bytes) cut to the cells of a level; (k1, k2) is a hash of the bytes that all windows of the
+    cell hold, and of the cell."""
+
+    def run(batches):
+        hashers = RangeHash(0x51), RangeHash(0x52)
+        for batch in batches:
+            doc, start, gram = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc", "start", "gram"))
+            strings = batch.column("bytes").to_pylist()
+            size = np.fromiter(map(len, strings), np.int64, len(strings))
+            data = np.frombuffer(b"".join(strings), np.uint8)
+            base = np.cumsum(size) - size
+            sums = [h.sums(data) for h in hashers]
+            least = gram - (size - LENGTH)
+            for a, b in cells(level):
+                own = np.flatnonzero((least <= b) & (gram >= a))
+                if not len(own):
+                    continue
+                at = base[own] + gram[own]
+                keys = [mix64(h.ranges(x, at - a, at + LENGTH - b) ^ np.uint64(a << 8 | b)).view(np.int64) for h, x in zip(hashers, sums)]
+                high, low = np.minimum(gram[own], b), np.maximum(least[own], a)
+                cut, to = gram[own] - high, gram[own] - low + LENGTH
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *map(pa.array, keys), pa.array(doc[own]), pa.array((start[own] + cut).astype(np.int32)), pa.array(high.astype(np.int32)),
+                        pa.array([strings[i][x:y] for i, x, y in zip(own.tolist(), cut.tolist(), to.tolist())], pa.binary()),
+                    ],
+                    ["k1", "k2", "doc", "start", "gram", "bytes"],
+                )
+
+    return run
+
+
+def _split_frequent(hot: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Rows (key, doc, start, bytes) that fit blocks, and intervals, of the records of frequent minimizers.
+
+    Each level drops what stands alone in its cell. Counts are written before they are joined, so that a
+    group of any size is dealt to as many tasks as its bytes need.
+    """
+    fit, found = [], []
+    for level in range(len(CELLS)):
+        parts = materialize(hot.mapInArrow(_cell_batches(level), _CELL_SQL), "cells")
+        first = F.min(F.struct("doc", "start"))
+        groups = materialize(parts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).filter("n > 1"), "cell-counts")
+        shared = materialize(parts.join(groups, ["k1", "k2"]), "shared-cells")
+        if level == len(CELLS) - 1:
+            later = F.struct("doc", "start") != F.col("first")
+            found.append(shared.filter(later).select("doc", "start", (F.col("start") + LENGTH).alias("end")))
+            break
+        fit.append(shared.filter(F.col("n") <= BLOCK_STRINGS).select(F.col("k1").alias("key"), "doc", "start", "bytes"))
+        hot = shared.filter(F.col("n") > BLOCK_STRINGS).select("doc", "start", "gram", "bytes")
+        if hot.isEmpty():
+            break
+    return fit, found
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """(doc_id, doc, text): ``doc`` orders documents. Where ids repeat or are null, equal rows are made one
-    and ids are spread to make room for an order by text. Also whether that was needed."""
+    """(doc_id, doc, text): ``doc`` orders documents. Where ids repeat or are null, equal rows are made one and numbered
+    in the order of their ids and texts. Also whether that was needed."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    stats = rows.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.max("doc_id").alias("top"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    stats = rows.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     if not stats.nulls and (stats.most or 1) == 1:
         return rows.select("doc_id", F.col("doc_id").alias("doc"), "text"), False
-    rows = rows.distinct()
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("text")) - 1
-    base = F.coalesce(F.col("doc_id"), F.lit((stats.top or 0) + 1))
-    return materialize(rows.select("doc_id", (base * F.lit(stats.most) + rank).alias("doc"), "text"), "ordered"), True
+    placed = rows.distinct().orderBy(F.col("doc_id").isNull(), "doc_id", "text")
+    return materialize(placed.select("doc_id", F.monotonically_increasing_id().alias("doc"), "text"), "ordered"), True
 
 
 def later_intervals(rows: DataFrame) -> DataFrame:
     """(doc, start, end): bytes covered by windows that also start earlier, as intervals that may overlap."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n_buckets = int(total // 2 // BUCKET_BYTES) + int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = rows.select("doc", "text").mapInArrow(_pack_batches(n_buckets), _PACKED_SQL)
+    packed = rows.select("doc", "text").mapInArrow(_pack_batches(int(total // 2 // BUCKET_BYTES) + partitions), _PACKED_SQL)
     found = materialize(packed.groupBy("bucket").applyInArrow(_settle_bucket, _FOUND_SQL), "records")
     open_ = found.filter(F.col("key").isNotNull())
-    salts = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_STRINGS)).cast("int").alias("salts"))
-    with_bytes = (
-        open_.join(salts, "key")
-        .withColumn("salt", F.pmod(F.xxhash64("doc", "start"), F.col("salts")).cast("int"))
-        .join(rows.select("doc", "text"), "doc")
-        .select(
-            "key", "salt", "salts", "doc", "start",
-            F.expr("substring(cast(text as binary), start + 1, end - start)").alias("bytes"),
-        )
-    )
-    blocks = with_bytes.repartition("key", "salt").sortWithinPartitions("key", "salt")
-    sorted_ = materialize(blocks.mapInArrow(_sort_blocks, _BLOCK_SQL), "windows")
-    heads = sorted_.filter(F.col("h1").isNotNull())
-    firsts = heads.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("first"))
-    across = heads.join(firsts, ["h1", "h2"]).filter(F.struct("doc", "start") != F.col("first"))
-    return (
-        found.filter(F.col("key").isNull()).select("doc", "start", "end")
-        .union(sorted_.filter(F.col("h1").isNull()).select("doc", "start", "end"))
-        .union(across.select("doc", "start", "end"))
+    with_bytes = materialize(
+        open_.join(rows.select("doc", "text"), "doc").select(
+            "key", "hot", "doc", "start", "gram", F.expr("substring(cast(text as binary), start + 1, end - start)").alias("bytes")
+        ),
+        "open-records",
     )
+    strings = [with_bytes.filter("not hot").select("key", "doc", "start", "bytes")]
+    intervals = [found.filter(F.col("key").isNull()).select("doc", "start", "end")]
+    hot = with_bytes.filter("hot").select("doc", "start", "gram", "bytes")
+    if not hot.isEmpty():
+        fit, single = _split_frequent(hot)
+        strings, intervals = strings + fit, intervals + single
+    size = open_.agg(F.sum((F.col("end") - F.col("start")).cast("long"))).first()[0] or 0
+    blocks = reduce(DataFrame.union, strings).repartition(max(partitions, int(size // TASK_BYTES)), "key").sortWithinPartitions("key")
+    intervals.append(materialize(blocks.mapInArrow(_sort_blocks, _BLOCK_SQL), "windows"))
+    return reduce(DataFrame.union, intervals)
 
 
 def _cut_batches(keep_bytes: bool):

@@ -412,12 +412,40 @@ def test_substrings_equal_brute_force(spark, small, monkeypatch):
         monkeypatch.setattr(sd, "CHUNK_RECORDS", 20)
         monkeypatch.setattr(sd, "BLOCK_STRINGS", 2)
         monkeypatch.setattr(sd, "BLOCK_BYTES", 300)
+        monkeypatch.setattr(sd, "CHUNK_CONTENTS", 3)
     rows = substring_rows(random.Random(11))
     got = sd.dedup_substrings(frame(spark, rows), keep_bytes=False).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in got} == cut_by_brute_force(rows)
     assert sum(r.n_removed for r in got) > 3000
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_one_passage_in_thousands_of_documents(spark, partitions):
+    """One passage, with slightly different surroundings, in 2,000 documents: its ends are frequent minimizers."""
+    from quarrygraph.llm import suffixdedup as sd
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, tails = word(260), [word(40) for _ in range(40)]
+    rows = [(i, word(rng.randint(0, 60)) + passage[rng.randint(0, 3) :] + rng.choice(tails)[: rng.randint(5, 40)] + word(30)) for i in range(2000)]
+    docs = frame(spark, rows).repartition(partitions)
+    got = sd.dedup_substrings(docs, keep_bytes=False).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in got} == cut_by_brute_force(rows)
+
+
+def test_frequent_minimizers_make_no_row_for_each_window(spark):
+    """Rows of the cells follow the records that share something, not their windows."""
+    from quarrygraph.llm import suffixdedup as sd
+
+    rng = random.Random(4)
+    shared = bytes(rng.randint(97, 105) for _ in range(100))
+    rows = [(i, i * 7, 80, bytes(rng.randint(97, 122) for _ in range(80)) + shared) for i in range(3000)]
+    hot = spark.createDataFrame(rows, "doc long, start int, gram int, bytes binary")
+    fit, single = sd._split_frequent(hot)
+    assert sum(x.count() for x in fit) < 3000
+    assert {(r.doc, r.start) for x in single for r in x.collect()} >= {(i, i * 7 + 80) for i in range(1, 3000)}
+
+
 def test_substrings_take_repeated_and_null_ids(spark):
     from quarrygraph.llm.suffixdedup import dedup_substrings
 
@@ -426,4 +454,7 @@ def test_substrings_take_repeated_and_null_ids(spark):
     rows = [(1, a), (1, a), (1, "x" + a), (None, a + "tail"), (2, "short")]
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in dedup_substrings(frame(spark, rows)).collect())
     assert got == [(False, 1, 300, 0), (False, 1, 300, 0), (False, 1, 301, 300), (False, 2, 5, 0), (True, 0, 304, 300)]
+    top, low = 2**63 - 1, -(2**63)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in dedup_substrings(frame(spark, [(top, a), (top, "y" + a), (low, a + "z")])).collect())
+    assert got == [(low, 301, 0), (top, 300, 300), (top, 301, 300)]
     assert dedup_substrings(frame(spark, rows).limit(0)).count() == 0
