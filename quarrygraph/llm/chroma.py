@@ -318,9 +318,10 @@ def search(prints: DataFrame, is_query, min_hits: float = MIN_HITS, max_ber: flo
     )
     ids = classes.select(F.col("digest"), F.col("id").alias("class_id"))
     out = prints.join(ids, "digest", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    mine = F.when(F.col("id") == F.col("class_id"), F.col("class_id"))
-    links = links.withColumnRenamed("class_id", "__class")
-    return out.join(links, mine == F.col("__class"), "left").select(
+    mine = F.col("id").eqNullSafe(F.col("class_id"))  # other rows have no links: dealt by their id, not together by a null key
+    links = links.select(F.col("class_id").alias("__class"), F.lit(0).cast("long").alias("__other"), "links")
+    other = F.when(mine, F.lit(0).cast("long")).otherwise(F.xxhash64("id").bitwiseOR(F.lit(1).cast("long")))
+    return out.join(links, (F.col("class_id") == F.col("__class")) & (other == F.col("__other")), "left").select(
         "id", "class_id",
         (F.octet_length("codes") / 4).cast("int").alias("n_codes"),
         F.crc32("codes").alias("codes_crc32"),

@@ -27,9 +27,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where it is unset, a temporary one in local mode and an
+    error on a cluster, whose machines do not see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarrygraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,6 +49,38 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+class SetAside:
+    """``docs`` with the columns renamed whose names an operator uses itself (letter case aside).
+
+    ``as_given`` gives the columns back under their own names. ``beside`` does so too, but for those that share a name with
+    a result: they keep their new name, ``<name>_input``, with more underscores where that is taken.
+    """
+
+    def __init__(self, docs: DataFrame, inner: tuple[str, ...], results: tuple[str, ...] = ()):
+        mine = {c.lower() for c in (*inner, *results)}
+        used = mine | {c.lower() for c in docs.columns}
+        self.results = {c.lower() for c in results}
+        self.names: list[tuple[str, str]] = []
+        for given in docs.columns:
+            now = given
+            while now.lower() in mine or (now != given and now.lower() in used):
+                now += "_input" if now == given else "_"
+            used.add(now.lower())
+            self.names.append((given, now))
+        self.docs = docs.select([column(given).alias(now) for given, now in self.names])
+
+    def as_given(self, **changed: Column) -> list[Column]:
+        return [changed.get(given, column(now)).alias(given) for given, now in self.names]
+
+    def beside(self, **changed: Column) -> list[Column]:
+        return [changed.get(given, column(now)).alias(now if given.lower() in self.results else given) for given, now in self.names]
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -1,19 +1,19 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Token weights are summed to cells (source, language, topic). Sweeps then rake the cells: each sweep
-scales the cells of every source, then of every language, then of every topic to that category's
-target share. A cell's fitted share over its token share is the weight of its tokens; a sampling rate
-proportional to it, capped at one and solved so that the expected tokens meet the budget, is the
-calibrated probability of its documents.
+Token weights are summed to cells (source, language, topic). A cell's weight is its tokens times one factor for each of
+its categories. Sweeps rake the factors: each sets the factors of the sources, then of the languages, then of the
+topics, so that every category meets its target share; sweeps end when all shares are met to ``TOLERANCE``, or after
+``SWEEPS``. A cell's fitted share over its token share is the weight of its tokens; a sampling rate proportional to it,
+capped at one and solved so that the expected tokens meet the budget, is the calibrated probability of its documents.
 
-Cells are as many as there are combinations of categories, never as many as documents. Up to
-``SMALL_CELLS`` of them are fitted in one partition without any shuffle and broadcast for the draw;
-beyond that the same windows and the same join are shuffled.
+Cells, as many as combinations of categories, stay a distributed table: a step joins them to the factors, sums by category,
+and writes one row for each category. The rate is solved by sums over all cells. The driver sees only totals.
 
 Defined results: null source, language or topic is the category ``(null)``; a null or blank text has
 no tokens, so it weighs nothing and is drawn at its cell's rate (1 where the whole cell has none);
-repeated rows share one fate, since the draw hashes ``doc_id``; an empty table gives an empty result;
-extra columns pass through ``mix_documents`` untouched.
+repeated rows share one fate, since the draw hashes ``doc_id``, and so do rows without one; very long texts are counted
+whole; an empty table gives an empty result; extra columns pass through, those that share a name with a result as
+``<name>_input`` (``sample_documents`` gives all columns back under their own names).
 """
 
 from __future__ import annotations
@@ -21,14 +21,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, text_or_empty
+from .common import SPACE, SetAside, materialize, text_or_empty
 
-SMALL_CELLS = 100_000
-SWEEPS, SWEEPS_A_JOB = 20, 5
+SWEEPS, TOLERANCE = 20, 1e-11
 DIMS = ("__source", "__lang", "__topic")
+RESULTS = (*DIMS, "__tokens", "ratio", "prob", "sampled")
 
 
 @dataclass(frozen=True)
@@ -82,54 +81,63 @@ def with_cells(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     )
 
 
-def fit(cells: DataFrame, mix: Mix, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """Rake (dims, n) to (dims, n, weight): the fitted shares sum to one."""
+def fit(cells: DataFrame, total: float, mix: Mix, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """Rake (dims, n) to (dims, n, ratio): the weight of a token against the unweighted mix."""
+    factors: dict[str, DataFrame] = {}
     for dim, power in zip(DIMS, mix.powers):
-        mine = F.sum("n").over(W.partitionBy(dim))
+        margin = cells.groupBy(dim).agg(F.sum("n").alias("n"))
         given = (targets or {}).get(dim.strip("_"))
         if given is None:
-            share = F.pow(mine, F.lit(power))
+            share = F.pow(F.col("n"), F.lit(power))
         else:
             share = F.coalesce(
                 F.element_at(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]), F.col(dim)), F.lit(0.0)
             ).cast("double")
-        first = F.row_number().over(W.partitionBy(dim).orderBy(*[d for d in DIMS if d != dim])) == 1
-        cells = cells.withColumn(f"t{dim}", share).withColumn("__first", first)
-        cells = cells.withColumn(
-            f"t{dim}", F.col(f"t{dim}") / F.sum(F.when(F.col("__first"), F.col(f"t{dim}"))).over(W.partitionBy())
-        ).drop("__first")
-    cells = cells.withColumn("weight", F.col("n") / F.sum("n").over(W.partitionBy()))
-    for sweep in range(SWEEPS):
-        if sweep % SWEEPS_A_JOB == 0:
-            cells = materialize(cells, "raking").coalesce(1)
+        shares = materialize(margin.select(dim, share.alias("t")), "target-shares")
+        whole = shares.agg(F.sum("t")).first()[0] or 1.0
+        factors[dim] = shares.select(dim, (F.col("t") / F.lit(whole)).alias("t"), F.lit(1.0).alias("f"), F.lit(0.0).alias("off"))
+    for _ in range(SWEEPS):
         for dim in DIMS:
-            cells = cells.withColumn(
-                "weight", F.col("weight") * F.col(f"t{dim}") / F.sum("weight").over(W.partitionBy(dim))
-            )
-    return cells.drop(*[f"t{dim}" for dim in DIMS])
-
-
-def rates(cells: DataFrame, keep: float) -> DataFrame:
-    """Add ``ratio`` (weight of a token against the unweighted mix) and ``prob``: min(1, a * ratio) with
-    ``a`` solved so that the expected tokens are ``keep`` of all. ``a`` is found in one ordered pass: with
-    the k largest ratios at 1, it is (budget - their tokens) / (weight of the rest)."""
-    total = F.sum("n").over(W.partitionBy())
-    order = W.partitionBy().orderBy(F.desc("ratio"), *DIMS)
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    onward = order.rowsBetween(W.currentRow, W.unboundedFollowing)
-    cells = cells.withColumn("total", total).withColumn(
-        "ratio", F.col("weight") * F.col("total") / F.col("n")
-    )
-    cells = cells.withColumn(
-        "a",
-        (F.lit(keep) * F.col("total") - F.coalesce(F.sum("n").over(before), F.lit(0)))
-        / (F.sum("weight").over(onward) * F.col("total")),
-    ).withColumn("rank", F.row_number().over(order))
-    fits = F.col("a") * F.col("ratio") <= 1.0
-    best = F.min_by("a", F.when(fits, F.col("rank"))).over(W.partitionBy())
-    return cells.withColumn("prob", F.least(F.lit(1.0), F.coalesce(best * F.col("ratio"), F.lit(1.0)))).drop(
-        "a", "rank", "total"
-    )
+            others = [d for d in DIMS if d != dim]
+            raked, weight = cells, F.col("n").cast("double")
+            for other in others:
+                raked = raked.join(factors[other].select(other, F.col("f").alias(f"f{other}")), other)
+                weight = weight * F.col(f"f{other}")
+            sums = raked.groupBy(dim).agg(F.sum(weight).alias("m"))
+            some = F.col("m") > 0
+            moved = factors[dim].join(sums, dim).select(
+                dim, "t",
+                F.when(some, F.try_divide("t", "m")).otherwise(0.0).alias("f"),
+                F.abs(F.col("m") * F.col("f") - F.col("t")).alias("off"),
+            )
+            factors[dim] = materialize(moved, "raking")
+        off = [factors[d].agg(F.max("off").alias("off")) for d in DIMS]
+        if (off[0].union(off[1]).union(off[2]).agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
+            break
+    ratio = F.lit(float(total))
+    for dim in DIMS:
+        cells = cells.join(factors[dim].select(dim, F.col("f").alias(f"f{dim}")), dim)
+        ratio = ratio * F.col(f"f{dim}")
+    return materialize(cells.select(*DIMS, "n", ratio.alias("ratio")), "fitted")
+
+
+def solve_rate(cells: DataFrame, total: float, keep: float) -> float | None:
+    """The ``a`` for which probabilities min(1, a * ratio) give ``keep`` of all tokens; None where every rate is 1.
+
+    With the cells of rate 1 settled, ``a`` is the rest of the budget over the rest of the weight. A larger ``a`` settles
+    more cells and never fewer, so this is repeated until none is added.
+    """
+    budget, a, settled = keep * total, keep, 0
+    while True:
+        full = F.lit(a) * F.col("ratio") > 1.0
+        r = cells.agg(
+            F.count_if(full).alias("k"), F.sum(F.when(full, F.col("n"))).alias("n"), F.sum(F.when(~full, F.col("n") * F.col("ratio"))).alias("w")
+        ).first()
+        if r.k == settled:
+            return a
+        if not r.w:
+            return None
+        settled, a = r.k, (budget - (r.n or 0)) / r.w
 
 
 def draw(seed: str) -> Column:
@@ -138,15 +146,21 @@ def draw(seed: str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def fitted_cells(
-    keyed: DataFrame, mix: Mix, targets: dict[str, dict[str, float]] | None = None
-) -> tuple[DataFrame, bool]:
-    """Fitted cells and whether they are few. Cells without tokens keep rate 1 and are left out of the fit."""
+def fitted_cells(keyed: DataFrame, mix: Mix, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(dims, __ratio, __prob) of all cells with tokens."""
     cells = materialize(keyed.groupBy(*DIMS).agg(F.sum("__tokens").alias("n")).filter("n > 0"), "cells")
-    small = cells.limit(SMALL_CELLS + 1).count() <= SMALL_CELLS
-    cells = cells.coalesce(1) if small else cells
-    done = rates(fit(cells, mix, targets), mix.keep)
-    return materialize(done.select(*DIMS, "ratio", "prob"), "rates"), small
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    fitted = fit(cells, total, mix, targets)
+    a = solve_rate(fitted, total, mix.keep) if total else None
+    prob = F.lit(1.0) if a is None else F.least(F.lit(1.0), F.lit(a) * F.col("ratio"))
+    return materialize(fitted.select(*DIMS, F.col("ratio").alias("__ratio"), prob.alias("__prob")), "rates")
+
+
+def _mixed(docs: DataFrame, mix: Mix, targets, topic) -> DataFrame:
+    keyed = with_cells(docs, topic)
+    out = keyed.join(fitted_cells(keyed, mix, targets), list(DIMS), "left")
+    prob = F.coalesce(F.col("__prob"), F.lit(1.0))
+    return out.withColumns({"ratio": F.coalesce(F.col("__ratio"), F.lit(0.0)), "prob": prob, "sampled": draw(mix.seed) < prob})
 
 
 def mix_documents(
@@ -156,18 +170,16 @@ def mix_documents(
     topic: Column | None = None,
 ) -> DataFrame:
     """All columns of ``docs`` plus the dimensions, ``__tokens``, ``ratio``, ``prob`` and ``sampled``."""
-    keyed = with_cells(docs, topic)
-    cells, small = fitted_cells(keyed, mix, targets)
-    out = keyed.join(F.broadcast(cells) if small else cells, list(DIMS), "left")
-    prob = F.coalesce(F.col("prob"), F.lit(1.0))
-    return out.withColumns(
-        {"ratio": F.coalesce(F.col("ratio"), F.lit(0.0)), "prob": prob, "sampled": draw(mix.seed) < prob}
-    )
+    given = SetAside(docs, ("__ratio", "__prob"), RESULTS)
+    return _mixed(given.docs, mix, targets, topic).select(*given.beside(), *RESULTS)
 
 
-def sample_documents(docs: DataFrame, mix: Mix = Mix(), **kwargs) -> DataFrame:
+def sample_documents(
+    docs: DataFrame, mix: Mix = Mix(), targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None
+) -> DataFrame:
     """The drawn rows of ``docs`` with their own columns only."""
-    return mix_documents(docs, mix, **kwargs).filter("sampled").select(*docs.columns)
+    given = SetAside(docs, ("__ratio", "__prob"), RESULTS)
+    return _mixed(given.docs, mix, targets, topic).filter("sampled").select(*given.as_given())
 
 
 def sql(mix: Mix = Mix(), docs: str = "documents") -> str:

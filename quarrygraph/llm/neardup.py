@@ -3,8 +3,8 @@
 1. Shingles are hashes of five consecutive words (A-Z lowered); a document of one to four words is one
    shingle. Weight = tf * ln(1 + N / max(df, N * DF_FLOOR)). Shingles below the floor share one idf, so only
    those above it need their df; their number is bounded by mean shingles per document / DF_FLOOR and they
-   are the only corpus statistics sent to executors. df is counted over all documents, in chunks; a chunk
-   reports the shingles it saw twice or more, so a df is low by at most the number of chunks.
+   are the only corpus statistics sent to executors. Their df is exact, however the input is partitioned: a shingle
+   above the floor is above it in some chunk of documents, so chunks name candidates, and a second pass counts these.
 2. Each shingle hashes to one of ``K`` bins; in its bin it draws the consistent weighted sample of its
    weight (r, c ~ Gamma(2, 1), beta ~ U(0, 1)); the smallest draw represents the bin. Empty bins take the
    next bin's sample. Drawing in one bin instead of K keeps the sample consistent at 1/K of the cost.
@@ -19,9 +19,11 @@
 
 Equal texts are one node from the start and are not compared.
 
-Defined results: null and blank texts have no shingles; equal ones form a class, like all equal texts.
-Rows that repeat a ``doc_id`` are one document. A null ``doc_id`` takes part under an id made from its
-text. An empty table gives an empty result. Extra columns pass through ``keep_one``.
+Defined results: null and blank texts have no shingles; equal ones form a class, like all equal texts; null is the empty
+text. Rows that repeat a ``doc_id`` are one document; ``keep_one`` returns the one of the smallest text. Rows without an id
+come after all others, in the order of their texts, and equal ones are one document; a class of such rows only has a
+made ``class_id`` below 0. Ids may be any long. Very long texts are compared whole. An empty table gives an empty
+result. Extra columns of any name pass through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import (
     RangeHash,
+    SetAside,
     by_value,
     digest16,
     materialize,
@@ -49,6 +52,7 @@ BANDS, ROWS = 24, 5
 K = BANDS * ROWS
 BLOCK_BYTES = 2 << 20
 CHUNK_DOCS = 2000
+SLICE = 200_000
 #: Rows of a shingle that meet in one cell of the exact join; a more frequent one is dealt to pairs of blocks.
 CELL = 500
 
@@ -114,19 +118,18 @@ def shingles_of(column, words):
 # ------------------------------------------------------------------------------------------------- idf
 
 
-def _frequent_in_chunks(batches):
+def _candidates_in_chunks(batches):
+    """Shingles whose share of some chunk's documents is above the floor: all that are above it in the corpus are."""
     words = word_kernel()
     seen: list[np.ndarray] = []
 
     def report():
         codes, df = np.unique(np.concatenate(seen), return_counts=True)
-        codes, df = codes[df > 1], df[df > 1]
-        return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(df.astype(np.int64))], ["h", "df"])
+        return pa.RecordBatch.from_arrays([pa.array(codes[df > DF_FLOOR * len(seen)].view(np.int64))], ["h"])
 
     for batch in batches:
         for _, shingles in shingles_of(batch.column("text"), words):
-            if len(shingles):
-                seen.append(np.unique(shingles))
+            seen.append(np.unique(shingles))
             if len(seen) == CHUNK_DOCS:
                 yield report()
                 seen = []
@@ -134,6 +137,23 @@ def _frequent_in_chunks(batches):
         yield report()
 
 
+def _count_batches(candidates: np.ndarray):
+    """Documents of the partition that hold each candidate (sorted)."""
+
+    def run(batches):
+        words = word_kernel()
+        df = np.zeros(len(candidates), np.int64)
+        for batch in batches:
+            for _, shingles in shingles_of(batch.column("text"), words):
+                at = np.searchsorted(candidates, shingles)
+                at[at == len(candidates)] = 0
+                df[np.unique(at[candidates[at] == shingles])] += 1
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(candidates[some].view(np.int64)), pa.array(df[some])], ["h", "df"])
+
+    return run
+
+
 class Idf:
     """idf by shingle hash: the table above the floor, one value for everything else."""
 
@@ -154,16 +174,18 @@ class Idf:
 
 
 def learn_idf(docs: DataFrame) -> Idf:
-    """Document frequencies of the shingles above the floor, over all documents."""
+    """Document frequencies of the shingles above the floor, over all documents. Candidates are counted in slices, so
+    that no more than about ``SLICE`` of them are on an executor."""
     n = docs.count()
-    rows = (
-        docs.select("text")
-        .mapInArrow(_frequent_in_chunks, "h long, df long")
-        .groupBy("h")
-        .agg(F.sum("df").alias("df"))
-        .filter(F.col("df") > DF_FLOOR * n)
-    )
-    return Idf(n, [(r.h, r.df) for r in rows.collect()])
+    found = materialize(docs.select("text").mapInArrow(_candidates_in_chunks, "h long").distinct(), "candidates")
+    slices = -(-found.count() // SLICE)
+    frequent: list[tuple[int, int]] = []
+    for i in range(slices):
+        part = found.filter(F.pmod("h", F.lit(slices)) == i).collect()  # a bounded slice
+        codes = np.sort(np.array([r.h for r in part], np.int64).view(np.uint64))
+        counts = docs.select("text").mapInArrow(_count_batches(codes), "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
+        frequent += [(r.h, r.df) for r in counts.filter(F.col("df") > DF_FLOOR * n).collect()]
+    return Idf(n, frequent)
 
 
 # ------------------------------------------------------------------------------------------ signatures
@@ -350,47 +372,62 @@ def exact_pairs(root_of: DataFrame, texts: DataFrame, idf: Idf, threshold: float
 # -------------------------------------------------------------------------------------------- components
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """With a second key that follows from the first. A join on both deals its sides anew even where one is grouped by
+    the first, so that adaptive execution may split a hot key's rows over tasks."""
+    return df.withColumn("__and", F.xxhash64(key))
+
+
 def star_pairs(keyed: DataFrame, largest: bool = False) -> DataFrame:
     """Distinct pairs (rep, doc): every document of a key with the key's smallest (or largest) one."""
     pick = F.max if largest else F.min
     hubs = keyed.groupBy("key").agg(pick("doc").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    linked = keyed.join(hubs.select("key", "hub"), "key").filter("doc <> hub")
+    linked = _spread(keyed, "key").join(_spread(hubs.select("key", "hub"), "key"), ["key", "__and"]).filter("doc <> hub")
     return linked.select(F.least("doc", "hub").alias("rep"), F.greatest("doc", "hub").alias("doc")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (rep, doc); root is the component's smallest node.
+def components(edges: DataFrame) -> DataFrame:
+    """(doc, root) for every node of ``edges`` (rep, doc); root is the component's smallest node.
 
     Alternating large-star and small-star rounds: each node's larger, then smaller, neighbours move to its
-    smallest neighbour, until no edge changes. Minima are partial sums, so a hub's edges never meet in one task.
+    smallest neighbour, until no edge changes. Minima are partial sums, and a hub's edges may be split over tasks.
     """
     edges = materialize(edges.select(F.least("rep", "doc").alias("u"), F.greatest("rep", "doc").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("m").alias("u"), "v")
+        large = _spread(both.filter("v > u"), "u").join(_spread(low, "u"), ["u", "__and"]).select(F.col("m").alias("u"), "v")
         low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select("u", "v", "m")
+        small = _spread(large, "v").join(_spread(low, "v"), ["v", "__and"]).select("u", "v", "m")
         edges = materialize(
             small.select(F.col("m").alias("u"), "v").union(small.select(F.col("m").alias("u"), F.col("u").alias("v"))).filter("u < v").distinct(),
             "edges",
         )
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
-            break
+            return edges.select(F.col("v").alias("doc"), F.col("u").alias("root"))
         before = now
-    return edges.select(F.col("v").alias("doc"), F.col("u").alias("root"))
 
 
-def _roots(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    return nodes.join(found, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, text), and how rows without an id were numbered: (doc, doc_id, own), None where all have one. ``own`` is the
+    text of a row without an id; numbers follow the ids, and then those texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text"))
+    if rows.filter("doc is null").isEmpty():
+        return rows, None
+    keys = rows.select(F.col("doc").alias("doc_id"), F.when(F.col("doc").isNull(), F.col("text")).alias("own")).distinct()
+    keys = materialize(keys.orderBy(F.col("doc_id").isNull(), "doc_id", "own").withColumn("doc", F.monotonically_increasing_id()), "numbers")
+    return materialize(_with_number(docs, keys).select(F.col("__doc").alias("doc"), text_or_empty().alias("text")), "numbered"), keys
 
 
-def _doc_key():
-    """``doc_id``, or for a null one a negative id made from the text."""
-    made = F.lit(-1) - F.shiftrightunsigned(F.xxhash64(text_or_empty()), 1)
-    return F.coalesce(F.col("doc_id").cast("long"), made)
+def _with_number(docs: DataFrame, numbers: DataFrame | None) -> DataFrame:
+    """``docs`` with ``__doc``."""
+    if numbers is None:
+        return docs.withColumn("__doc", F.col("doc_id").cast("long"))
+    own = F.when(F.col("doc_id").isNull(), text_or_empty())
+    keys = numbers.select(F.col("doc_id").alias("__id"), F.col("own").alias("__own"), F.col("doc").alias("__doc"))
+    return docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & own.eqNullSafe(F.col("__own"))).drop("__id", "__own")
 
 
 def _finer_keys(keys):
@@ -403,13 +440,12 @@ def _unsettled(keyed: DataFrame, found: DataFrame) -> DataFrame:
     """(key, doc, root) of the documents that meet another component under a key."""
     rooted = keyed.join(found, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    return materialize(rooted.join(mixed, "key", "left_semi"), "unsettled")
+    return materialize(_spread(rooted, "key").join(_spread(mixed, "key"), ["key", "__and"], "left_semi").drop("__and"), "unsettled")
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, bool]:
-    """(doc, class_id), a row per row of ``docs``; ``class_id`` is the smallest id of the class. Also whether
-    some id repeats."""
-    rows = docs.select(_doc_key().alias("doc"), text_or_empty().alias("text"))
+def near_duplicate_classes(rows: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, bool]:
+    """(doc, class_id), a row per row of ``rows`` (doc, text); ``class_id`` is the smallest of the class. Also whether
+    some ``doc`` repeats."""
     idf = learn_idf(rows)
     signed = materialize(
         rows.withColumn("digest", digest16(F.col("text"))).mapInArrow(
@@ -449,19 +485,27 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tup
 
 def classed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) for each document; a null ``doc_id`` stays null."""
-    found, repeats = near_duplicate_classes(docs, threshold)
-    found = found.distinct() if repeats else found
-    return found.select(F.when(F.col("doc") >= 0, F.col("doc")).alias("doc_id"), "class_id")
+    rows, numbers = numbered(docs)
+    found, repeats = near_duplicate_classes(rows, threshold)
+    if repeats:
+        found = found.distinct()
+    if numbers is None:
+        return found.select(F.col("doc").alias("doc_id"), "class_id")
+    made = F.coalesce("doc_id", F.lit(-1) - F.shiftrightunsigned(F.xxhash64("own"), 1))
+    found = found.join(numbers.select("doc", "doc_id"), "doc").select("doc_id", F.col("class_id").alias("root"))
+    return found.join(numbers.select(F.col("doc").alias("root"), made.alias("class_id")), "root").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class the document with the smallest id stays, once."""
-    found, repeats = near_duplicate_classes(docs, threshold)
-    gone = found.filter("doc <> class_id").select(F.col("doc").alias("__gone"))
-    keyed = docs.withColumn("__doc", _doc_key())
+    given = SetAside(docs, ("__doc", "__id", "__own", "__rank"))
+    rows, numbers = numbered(given.docs)
+    found, repeats = near_duplicate_classes(rows, threshold)
+    gone = found.filter("doc <> class_id").select(F.col("doc").alias("__doc"))
+    keyed = _with_number(given.docs, numbers)
     if repeats:
-        keyed = keyed.dropDuplicates(["__doc"])
-    return keyed.join(gone, F.col("__doc") == F.col("__gone"), "left_anti").drop("__doc")
+        keyed = keyed.withColumn("__rank", F.row_number().over(Window.partitionBy("__doc").orderBy(text_or_empty()))).filter("__rank = 1")
+    return keyed.join(gone, "__doc", "left_anti").select(*given.as_given())
 
 
 by_value(__name__)

@@ -4,11 +4,13 @@ The base rule (too short, too repetitive) is judged for every document, because
 results. The other rules form a cascade: on a sample, each rule's cost (seconds beyond reading the
 sample) and selectivity (share rejected) are measured, and the rules run in order of rejection per
 cost inside one lazily evaluated CASE, so a rejected document pays for no later rule. The order
-changes the cost and ``rejected_by`` only; ``kept`` is the same under every order.
+changes the cost and ``rejected_by`` only; ``kept`` is the same under every order. One job judges every row of the
+sample ``REPEATS`` times, so that a rule's cost stands out from the job's own.
 
 Defined results: a null or blank text has no words and fails the base rule; ties between rules go to
-the rule's name; repeated rows are judged alike; on an empty table the rules keep their given order;
-extra columns pass through (``score_documents`` returns them all).
+the rule's name; repeated rows are judged alike; a null ``doc_id`` is judged by its text; very long texts are judged
+whole; on an empty table the rules keep their given order; extra columns pass through, those that share a name with a
+result as ``<name>_input`` (``keep_documents`` gives all columns back under their own names).
 """
 
 from __future__ import annotations
@@ -20,11 +22,15 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, SPACE, materialize, text_or_empty
+from .common import NOT_SPACE, SPACE, SetAside, materialize, text_or_empty
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 _BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
+REPEATS = 20
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+RESULTS = (*COUNTS, "rejected_by", "kept")
+_INNER = ("__text", "__words", "__lines", "__n_lines", "__again")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -104,13 +110,10 @@ RULES = (
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base counts, ``base_failed`` and the cascade's inputs (``__`` columns)."""
-    text = text_or_empty()
+    """``docs``, free of the names used here, with the base counts, ``base_failed`` and the cascade's inputs."""
     lines = F.filter(F.split(F.col("__text"), "\n", -1), lambda x: x.rlike(NOT_SPACE))
-    taken = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"}
-    own = [c for c in docs.columns if c not in taken]
     return (
-        docs.select(*own, text.alias("__text"))
+        docs.withColumn("__text", text_or_empty())
         .withColumns({"__words": words_of(F.col("__text")), "__lines": lines})
         .withColumns(
             {
@@ -132,40 +135,60 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> list[Rule]:
-    """Rules by falling rejection per second, measured on a hash sample of about ``sample_rows`` rows."""
+def measure_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> list[tuple[Rule, float, float]]:
+    """(rule, seconds for a row, share rejected) over a hash sample of about ``sample_rows`` rows that pass the base rule."""
     n = docs.count()
     if n == 0:
-        return list(rules)
+        return [(rule, 0.0, 0.0) for rule in rules]
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(min(1_000_000, -(-sample_rows * 1_000_000 // n)))
-    sample = materialize(features(docs.filter(part)).filter(~F.col("base_failed")).repartition(4), "rule-sample")
+    kept = features(docs.filter(part)).filter(~F.col("base_failed"))
+    sample = materialize(kept.select(*COUNTS, "__text", "__words", "__n_lines").repartition(4), "rule-sample")
+    again = F.explode(F.sequence(F.lit(1), F.lit(REPEATS)))
 
-    def seconds(condition: Column) -> tuple[float, int]:
-        probe = sample.agg(F.count_if(F.coalesce(condition, F.lit(False))).alias("n"), F.sum(F.size("__words")))
-        best, found = float("inf"), 0
+    def seconds(condition: Column) -> tuple[float, int, int]:
+        probe = sample.withColumn("__again", again).agg(
+            F.count_if(F.coalesce(condition, F.lit(False))).alias("n"), F.sum(F.size("__words")), F.count(F.lit(1)).alias("rows")
+        )
+        best, found = float("inf"), None
         for _ in range(2):
             began = time.perf_counter()
-            found = probe.first().n
+            found = probe.first()
             best = min(best, time.perf_counter() - began)
-        return best, found
+        return best, found.n, found.rows
 
-    floor, _ = seconds(F.lit(False))
-    measured = []
+    floor, _, rows = seconds(F.lit(False))
+    out = []
     for rule in rules:
-        took, found = seconds(rule.rejects())
-        measured.append((-found / max(took - floor, 1e-4), rule.name, rule))
-    return [rule for _, _, rule in sorted(measured, key=lambda m: m[:2])]
+        took, found, _ = seconds(rule.rejects())
+        out.append((rule, max(took - floor, 1e-6) / max(rows, 1), found / max(rows, 1)))
+    return out
 
 
-def score_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> DataFrame:
-    """All columns of ``docs`` with the base counts, ``base_failed``, ``rejected_by`` and ``kept``."""
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> list[Rule]:
+    """Rules by falling rejection per second, as measured on the sample."""
+    measured = measure_rules(docs, rules, sample_rows)
+    if not any(cost for _, cost, _ in measured):
+        return list(rules)
+    return [rule for rule, _, _ in sorted(measured, key=lambda m: (-m[2] / m[1], m[0].name))]
+
+
+def _scored(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int) -> DataFrame:
     verdict = F.when(F.col("base_failed"), F.lit("base"))
     for rule in order_rules(docs, rules, sample_rows):
         verdict = verdict.when(F.coalesce(rule.rejects(), F.lit(False)), F.lit(rule.name))
-    scored = features(docs).withColumn("rejected_by", verdict)
-    return scored.withColumn("kept", F.col("rejected_by").isNull()).drop(
-        "__text", "__words", "__lines", "__n_lines"
-    )
+    return features(docs).withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
+
+
+def score_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> DataFrame:
+    """All columns of ``docs`` with the base counts, ``base_failed``, ``rejected_by`` and ``kept``."""
+    given = SetAside(docs, _INNER, RESULTS)
+    return _scored(given.docs, rules, sample_rows).select(*given.beside(), *RESULTS)
+
+
+def keep_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with their own columns."""
+    given = SetAside(docs, _INNER, RESULTS)
+    return _scored(given.docs, rules, sample_rows).filter("kept").select(*given.as_given())
 
 
 SQL = r"""

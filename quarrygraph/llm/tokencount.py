@@ -1,11 +1,12 @@
 """Token counts behind a digest cache.
 
 A count depends on the normalised content and on the tokenizer alone, so it is stored under the
-digests of both. A run joins the digests of its documents to the cache, encodes each distinct miss
-once, appends those counts, and reads every document's count from the cache.
+digests of both. Documents come in batches. Each batch joins its digests to the stored counts, encodes each distinct
+miss once, and appends those counts; at the end every document's count is read from the cache. Since misses only are
+appended, one after the other, a digest is stored once.
 
-Defined results: a null text counts as empty; copies share one cache row; rows may repeat; an empty
-table adds nothing and returns no rows. Extra columns are ignored, whatever their names.
+Defined results: a null text counts as empty; copies share one cache row; rows may repeat, and ids may be null; very long
+texts are encoded whole; an empty table adds nothing and returns no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -82,7 +83,9 @@ class TokenCache:
         )
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 4096) -> DataFrame:
+def count_tokens(
+    docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 4096, n_batches: int = 3
+) -> DataFrame:
     """Token counts of every text.
 
     Copies meet before the shuffle: the grouping by digest keeps one text per digest and task, so a
@@ -92,19 +95,19 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     tokenizer = TokenizerFile(tokenizer_path)
     cache = TokenCache(spark, cache_path or scratch_path(spark, "token-cache"))
     text = text_or_empty()
-    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    misses = keyed.groupBy("digest").agg(F.first("text").alias("text"))
-    known = cache.read(tokenizer.version)
-    if known is not None:
-        misses = misses.join(known, "digest", "left_anti")
-    cache.append(
-        misses.mapInArrow(count_batches(tokenizer), "digest binary, n_tokens long"), tokenizer.version
-    )
-    known = cache.read(tokenizer.version)
+    for b in range(n_batches):
+        batch = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)) == b)
+        misses = batch.select(text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest")).groupBy("digest").agg(F.first("text").alias("text"))
+        known = cache.read(tokenizer.version)
+        if known is not None:
+            misses = misses.join(known, "digest", "left_anti")
+        cache.append(misses.mapInArrow(count_batches(tokenizer), "digest binary, n_tokens long"), tokenizer.version)
     rows = docs.select(
         "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest")
     )
-    return rows.join(known, "digest", "left").select(
+    # a join on two keys deals the grouped counts anew, so that the rows of a common text may be split over tasks
+    known = cache.read(tokenizer.version).withColumn("and", F.xxhash64("digest"))
+    return rows.withColumn("and", F.xxhash64("digest")).join(known, ["digest", "and"], "left").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
 

@@ -120,17 +120,38 @@ def test_line_dedup_equals_brute_force(docs, none, batches, fanout):
     assert dedup_lines(none).count() == 0
 
 
-def test_runs_are_compacted(docs, spark):
+def test_runs_are_levelled_and_disjoint(docs, spark):
+    """Totals need the anti-join: a key that were in two runs would have two totals."""
+    from pyspark.sql import functions as F
+
+    from quarrygraph.llm.common import scratch_path
+    from quarrygraph.llm.linededup import Runs, keyed_lines
+
+    lines = keyed_lines(docs, 10, 5)
+    runs, shape = Runs(spark, scratch_path(spark, "t"), 2), []
+    for b in range(5):
+        runs.add(lines.filter(f"batch = {b}").select("doc_id", "key"))
+        shape.append([len(x) for x in runs.levels])
+    assert shape == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1]]
+    want = {bytes(r.key): (r.n, r.m) for r in lines.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("m")).collect()}
+    got = [(bytes(r.key), (r.n_docs, r.max_doc)) for r in runs.totals().collect()]
+    assert len(got) == len(want) and dict(got) == want
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("run_", "batch_", "added_"))]
+
+
+def test_runs_are_joined_without_an_exchange(docs, spark):
     from quarrygraph.llm.common import scratch_path
     from quarrygraph.llm.linededup import Runs, keyed_lines
 
-    lines = keyed_lines(docs, 10, 4)
-    runs = Runs(spark, scratch_path(spark, "t"), 2)
-    for b in range(4):
+    lines = keyed_lines(docs, 10, 2)
+    runs = Runs(spark, scratch_path(spark, "t"), 3)
+    for b in range(2):
         runs.add(lines.filter(f"batch = {b}").select("doc_id", "key"))
-    assert [len(x) for x in runs.levels] == [0, 0, 1]
-    view = runs.view()
-    assert view.count() == lines.select("key").distinct().count() == view.filter("fresh").count()
+    a, b = map(spark.table, runs.runs)
+    plan = a.hint("merge").join(b.select("key"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.close()
 
 
 def test_mixing_meets_targets_and_budget(spark, none):
