@@ -461,13 +461,14 @@ def sample_texts(pieces: Pieces, keys: list, texts: list[str], k: int, seed: int
         i = j
 
 
-def decode_ids(pieces_text: list[str], byte_value: dict[int, int], ids) -> str:
-    """The text of piece ids: bytes are gathered to UTF-8, space marks are spaces, the first one is the model's own."""
-    if byte_value.keys().isdisjoint(ids):
-        text = "".join(map(pieces_text.__getitem__, ids))
+def decode_ids(pieces_text: np.ndarray, byte_value: dict[int, int], is_byte: np.ndarray, ids: np.ndarray) -> str:
+    """The text of piece ids: bytes are gathered to UTF-8, space marks are spaces, the first one is the model's own.
+    ``pieces_text`` (objects) and ``is_byte``, whether an id is in ``byte_value``, go by id."""
+    if not is_byte[ids].any():
+        text = "".join(pieces_text[ids].tolist())
         return (text[1:] if text[:1] == chr(MARK) else text).replace(chr(MARK), " ")
     out, held = [], bytearray()
-    for i in ids:
+    for i in ids.tolist():
         if i in byte_value:
             held.append(byte_value[i])
             continue
@@ -481,8 +482,8 @@ def decode_ids(pieces_text: list[str], byte_value: dict[int, int], ids) -> str:
     return (text[1:] if text[:1] == chr(MARK) else text).replace(chr(MARK), " ")
 
 
-_FULL = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64())]))
-_FULL_SQL = "array<struct<ids: array<int>, log_prob: double, inclusion: double>>"
+_FULL = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("ids_crc32", pa.int64())]))
+_FULL_SQL = "array<struct<ids: array<int>, log_prob: double, inclusion: double, ids_crc32: long>>"
 _BRIEF_SQL = "array<struct<n_pieces: int, log_prob: double, inclusion: double, ids_crc32: long>>"
 _BRIEF = pa.list_(pa.struct([("n_pieces", pa.int32()), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("ids_crc32", pa.int64())]))
 
@@ -494,18 +495,20 @@ def _sample_batches(blob: bytes, k: int, seed: int, brief: bool):
         pieces = Pieces(blob)
         words = Words(pieces)
         sp = sentencepiece.SentencePieceProcessor(model_proto=blob)
-        names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        names = np.array([sp.id_to_piece(i) for i in range(sp.get_piece_size())], object)
         byte_value = {int(i): b for b, i in enumerate(pieces.byte_id) if b >= 128}
         for b in range(128):  # an ASCII byte is its own character
             names[pieces.byte_id[b]] = chr(b)
+        is_byte = np.zeros(len(names), bool)
+        is_byte[list(byte_value)] = True
 
         def emit(rows, exact, sizes):
             ids = [i for i, _, _ in rows]
             lengths = np.fromiter(map(len, ids), np.int32, len(ids))
             fields = [pa.array([p for _, p, _ in rows], pa.float64()), pa.array([q for _, _, q in rows], pa.float64())]
+            fields.append(pa.array([zlib.crc32(i) for i in ids], pa.int64()))
             if brief:
-                sums = pa.array([zlib.crc32(i) for i in ids], pa.int64())
-                kind, arrays = _BRIEF, [pa.array(lengths), *fields, sums]
+                kind, arrays = _BRIEF, [pa.array(lengths), *fields]
             else:
                 flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
                 ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
@@ -517,7 +520,8 @@ def _sample_batches(blob: bytes, k: int, seed: int, brief: bool):
             """(rows done, samples, round trips) whenever enough ids have come together."""
             rows, exact, sizes, held = [], [], [0], 0
             for text, paths in zip(texts, sample_texts(pieces, keys, texts, k, seed, words)):
-                exact.append(decode_ids(names, byte_value, paths[0][0].tolist()) == text.replace(chr(MARK), " "))
+                plain = text.replace(chr(MARK), " ")
+                exact.append(all(decode_ids(names, byte_value, is_byte, ids) == plain for ids, _, _ in paths))
                 sizes.append(sizes[-1] + len(paths))
                 rows += paths
                 held += sum(len(i) for i, _, _ in paths)
@@ -543,9 +547,9 @@ def _sample_batches(blob: bytes, k: int, seed: int, brief: bool):
 
 
 def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int = 7, brief: bool = False) -> DataFrame:
-    """(doc_id, samples, round_trip): up to ``k`` distinct segmentations of every whole text with log-probability
-    and inclusion score, and whether the first one decodes to the text. ``brief`` gives lengths and
-    CRC-32 of the ids instead of the ids. No shuffle."""
+    """(doc_id, samples, round_trip): up to ``k`` distinct segmentations of every whole text with log-probability,
+    inclusion score and the CRC-32 of the ids, and whether all of them decode to the text. ``brief`` gives lengths
+    instead of the ids. No shuffle."""
     with open(model_path, "rb") as f:
         blob = f.read()
     kind = docs.schema["doc_id"].dataType.simpleString()

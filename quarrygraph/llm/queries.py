@@ -25,15 +25,16 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lattice import sample_segmentations
 
-    found = sample_segmentations(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), k=2, brief=True)
+    found = sample_segmentations(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), k=2)
     return found.select(
         "doc_id",
         "round_trip",
         F.size("samples").alias("n_samples"),
-        F.col("samples.n_pieces").alias("n_pieces"),
+        F.transform("samples", lambda s: F.size(s["ids"])).alias("n_pieces"),
         F.col("samples.log_prob").alias("log_prob"),
         F.col("samples.inclusion").alias("inclusion"),
         F.col("samples.ids_crc32").alias("ids_crc32"),
+        F.col("samples.ids").alias("ids"),
     )
 
 

@@ -6,6 +6,7 @@ import io
 import math
 import random
 import wave
+import zlib
 
 import numpy as np
 import pytest
@@ -238,6 +239,41 @@ def test_samples_do_not_depend_on_batches_and_round_trip(spark, pieces):
     assert lattice.sample_segmentations(frame(spark, rows).limit(0), path).count() == 0
 
 
+def test_query_returns_the_segmentations(spark, tmp_path):
+    """The ids themselves, which decode to the text; the digests are of these ids."""
+    import public_tokenizers
+    import sentencepiece
+
+    from quarrygraph.llm.queries import op7_gumbel_segmentations
+
+    texts = {1: "cats and dogs", 2: "", 3: None, 4: "  漢字 two  spaces\n", 5: "word " * 400}
+    frame(spark, list(texts.items())).write.parquet(f"{tmp_path}/documents.parquet")
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r.doc_id: r for r in op7_gumbel_segmentations(spark, str(tmp_path)).collect()}
+    assert got.keys() == texts.keys()
+    for i, r in got.items():
+        assert all(sp.decode(ids) == (texts[i] or "") for ids in r.ids) and r.round_trip
+        assert r.n_samples == len(r.ids) == (2 if texts[i] else 1) and r.n_pieces == [len(ids) for ids in r.ids]
+        assert r.ids_crc32 == [zlib.crc32(np.array(ids, "<i4").tobytes()) for ids in r.ids]
+
+
+def test_every_sample_must_round_trip(spark, monkeypatch):
+    import public_tokenizers
+
+    from quarrygraph.llm import lattice
+
+    def broken(pieces, keys, texts, k, seed, words):
+        for (first, p, q), (second, *rest) in lattice_samples(pieces, keys, texts, k, seed, words):
+            yield [(first, p, q), (second[:-1], *rest)]
+
+    lattice_samples = lattice.sample_texts
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = frame(spark, [(1, "cats and dogs")])
+    assert lattice.sample_segmentations(rows, path).first().round_trip
+    monkeypatch.setattr(lattice, "sample_texts", broken)
+    assert not lattice.sample_segmentations(rows, path).first().round_trip
+
+
 # ---------------------------------------------------------------------------------------- near-duplicates
 
 
