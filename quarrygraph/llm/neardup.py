@@ -1,10 +1,10 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles.
 
 1. Shingles are hashes of five consecutive words (A-Z lowered); a document of one to four words is one
-   shingle. Weight = tf * ln(1 + N / max(df, N * DF_FLOOR)). Shingles below the floor share one idf, so only
-   those above it need their df; their number is bounded by mean shingles per document / DF_FLOOR and they
-   are the only corpus statistics sent to executors. Their df is exact, however the input is partitioned: a shingle
-   above the floor is above it in some chunk of documents, so chunks name candidates, and a second pass counts these.
+   shingle. Weight = tf * ln(1 + N / df), with the exact df of every shingle: rows are dealt to blocks of bounded size,
+   a block's distinct shingles are sent with their counts to buckets of the hash range, and a bucket sends back to each
+   block those of its shingles that two documents or more hold. Nothing is collected or broadcast, and a frequent
+   shingle is one entry for each block. Each document keeps the df of its shingles beside its text.
 2. Each shingle hashes to one of ``K`` bins; in its bin it draws the consistent weighted sample of its
    weight (r, c ~ Gamma(2, 1), beta ~ U(0, 1)); the smallest draw represents the bin. Empty bins take the
    next bin's sample. Drawing in one bin instead of K keeps the sample consistent at 1/K of the cost.
@@ -28,6 +28,8 @@ result. Extra columns of any name pass through ``keep_one``.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -47,12 +49,13 @@ from .common import (
 )
 
 SHINGLE, THRESHOLD = 5, 0.8
-DF_FLOOR = 0.02
+#: Share of the documents below which all shingles weigh alike: none, every df counts.
+DF_FLOOR = 0.0
 BANDS, ROWS = 24, 5
 K = BANDS * ROWS
 BLOCK_BYTES = 2 << 20
-CHUNK_DOCS = 2000
-SLICE = 200_000
+#: Text bytes of a block of rows that share a table of document frequencies, and of what a bucket of the hash range counts.
+DF_BLOCK, DF_BUCKET = 8 << 20, 12 << 20
 #: Rows of a shingle that meet in one cell of the exact join; a more frequent one is dealt to pairs of blocks.
 CELL = 500
 
@@ -118,74 +121,113 @@ def shingles_of(column, words):
 # ------------------------------------------------------------------------------------------------- idf
 
 
-def _candidates_in_chunks(batches):
-    """Shingles whose share of some chunk's documents is above the floor: all that are above it in the corpus are."""
-    words = word_kernel()
-    seen: list[np.ndarray] = []
+def _block_batches(batches):
+    """Rows with a block: a number of its own for rows in a run whose texts have ``DF_BLOCK`` bytes or so."""
+    block, size = uuid.uuid4().int >> 65, 0
+    for batch in batches:
+        sizes, out = np.diff(text_buffer(batch.column("text"))[1]), np.empty(batch.num_rows, np.int64)
+        for i, n in enumerate(sizes.tolist()):
+            if size and size + n > DF_BLOCK:
+                block, size = uuid.uuid4().int >> 65, 0
+            out[i], size = block, size + n
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "block"])
+
 
-    def report():
-        codes, df = np.unique(np.concatenate(seen), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(codes[df > DF_FLOOR * len(seen)].view(np.int64))], ["h"])
+def _pack(values: np.ndarray) -> bytes:
+    """Bytes of the same place together: those of sorted or small numbers compress well."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
 
-    for batch in batches:
-        for _, shingles in shingles_of(batch.column("text"), words):
-            seen.append(np.unique(shingles))
-            if len(seen) == CHUNK_DOCS:
-                yield report()
-                seen = []
-    if seen:
-        yield report()
 
+def _unpack(blob: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
-def _count_batches(candidates: np.ndarray):
-    """Documents of the partition that hold each candidate (sorted)."""
+
+def _block_shingles(buckets: int):
+    """(block, bucket, codes, n): a block's distinct shingles in that part of the hash range, and its documents with each."""
 
     def run(batches):
         words = word_kernel()
-        df = np.zeros(len(candidates), np.int64)
+        bounds = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+        block, held, size = None, [], 0
+
+        def report():
+            codes, n = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.concatenate(([0], np.searchsorted(codes, bounds), [len(codes)]))
+            some = np.flatnonzero(np.diff(cuts))
+            parts = [(codes[a:b], n[a:b].astype(np.uint32)) for a, b in zip(cuts[some], cuts[some + 1])]
+            arrays = [np.full(len(some), block), some, [_pack(c) for c, _ in parts], [_pack(k) for _, k in parts]]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(arrays, kinds)], ["block", "bucket", "codes", "n"])
+
         for batch in batches:
-            for _, shingles in shingles_of(batch.column("text"), words):
-                at = np.searchsorted(candidates, shingles)
-                at[at == len(candidates)] = 0
-                df[np.unique(at[candidates[at] == shingles])] += 1
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(candidates[some].view(np.int64)), pa.array(df[some])], ["h", "df"])
+            own = batch.column("block").to_pylist()
+            for row, shingles in shingles_of(batch.column("text"), words):
+                if held and (own[row] != block or size > 4_000_000):
+                    yield report()
+                    held, size = [], 0
+                block = own[row]
+                held.append(np.unique(shingles))
+                size += len(held[-1])
+        if held:
+            yield report()
 
     return run
 
 
+def _count_bucket(table: pa.Table) -> pa.Table:
+    """(block, codes, df) of the shingles of a bucket that two documents or more hold, for each block that has them."""
+    codes = [_unpack(x.as_py(), np.uint64) for x in table.column("codes")]
+    ends = np.cumsum([len(c) for c in codes])
+    flat = np.concatenate(codes)
+    _, at = np.unique(flat, return_inverse=True)
+    n = np.concatenate([_unpack(x.as_py(), np.uint32) for x in table.column("n")])
+    df = np.bincount(at, n)[at].astype(np.int32)
+    out = []
+    for a, b in zip(ends - [len(c) for c in codes], ends):
+        some = a + np.flatnonzero(df[a:b] > 1)
+        out.append((_pack(flat[some]), _pack(df[some])))
+    arrays = [table.column("block").combine_chunks(), pa.array([c for c, _ in out], pa.binary()), pa.array([d for _, d in out], pa.binary())]
+    return pa.Table.from_arrays(arrays, ["block", "codes", "df"])
+
+
 class Idf:
-    """idf by shingle hash: the table above the floor, one value for everything else."""
+    """Documents, their rows in blocks (doc, text, digest, block), and the df above 1 of each block's shingles."""
+
+    def __init__(self, n_docs: int, blocks: DataFrame, table: DataFrame):
+        self.n_docs, self.blocks, self.table = n_docs, blocks, table
+
+    def _collected(self) -> tuple[np.ndarray, np.ndarray]:
+        """All shingles with a df above 1, sorted, and their df; for small tables."""
+        rows = self.table.select("codes", "df").collect()
+        codes = np.concatenate([np.zeros(0, np.uint64), *(_unpack(r.codes, np.uint64) for r in rows)])
+        df = np.concatenate([np.zeros(0, np.int32), *(_unpack(r.df, np.int32) for r in rows)])
+        codes, first = np.unique(codes, return_index=True)
+        return codes, df[first]
+
+    @property
+    def codes(self) -> np.ndarray:
+        return self._collected()[0]
+
+    @property
+    def values(self) -> np.ndarray:
+        return idf_of(self._collected()[1], self.n_docs)
 
-    def __init__(self, n_docs: int, frequent: list[tuple[int, int]]):
-        self.top = float(np.log1p(1.0 / DF_FLOOR)) if n_docs else 1.0
-        rows = sorted(((h % (1 << 64), df) for h, df in frequent))
-        self.codes = np.array([h for h, _ in rows], np.uint64)
-        self.values = np.log1p(n_docs / np.array([df for _, df in rows], np.float64)) if rows else np.zeros(0)
 
-    def of(self, codes: np.ndarray) -> np.ndarray:
-        out = np.full(len(codes), self.top)
-        if len(self.codes):
-            at = np.searchsorted(self.codes, codes)
-            at[at == len(self.codes)] = 0
-            hit = self.codes[at] == codes
-            out[hit] = self.values[at[hit]]
-        return out
+def idf_of(df: np.ndarray, n_docs: int) -> np.ndarray:
+    return np.log1p(n_docs / np.maximum(df, DF_FLOOR * n_docs))
 
 
 def learn_idf(docs: DataFrame) -> Idf:
-    """Document frequencies of the shingles above the floor, over all documents. Candidates are counted in slices, so
-    that no more than about ``SLICE`` of them are on an executor."""
-    n = docs.count()
-    found = materialize(docs.select("text").mapInArrow(_candidates_in_chunks, "h long").distinct(), "candidates")
-    slices = -(-found.count() // SLICE)
-    frequent: list[tuple[int, int]] = []
-    for i in range(slices):
-        part = found.filter(F.pmod("h", F.lit(slices)) == i).collect()  # a bounded slice
-        codes = np.sort(np.array([r.h for r in part], np.int64).view(np.uint64))
-        counts = docs.select("text").mapInArrow(_count_batches(codes), "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
-        frequent += [(r.h, r.df) for r in counts.filter(F.col("df") > DF_FLOOR * n).collect()]
-    return Idf(n, frequent)
+    """Exact document frequencies of all shingles of the rows (doc, text)."""
+    kinds = "doc long, text string, digest binary, block long"
+    blocks = materialize(docs.select("doc", "text", digest16(F.col("text")).alias("digest")).mapInArrow(_block_batches, kinds), "blocks")
+    n, size = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = blocks.select("block", "text").mapInArrow(
+        _block_shingles(-(-size // DF_BUCKET) or 1), "block long, bucket long, codes binary, n binary"
+    )
+    counted = parts.groupBy("bucket").applyInArrow(_count_bucket, "block long, codes binary, df binary")
+    return Idf(n, blocks, materialize(counted.filter(F.octet_length("df") > 0), "frequencies"))
 
 
 # ------------------------------------------------------------------------------------------ signatures
@@ -226,48 +268,67 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return mix64(keys ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(40)))
 
 
-def _weighted(shingles: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
+def _weighted(shingles: np.ndarray, dfs: bytes, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles, sorted, and their weights. ``dfs`` are their df, or nothing where all are 1."""
     codes, tf = np.unique(shingles, return_counts=True)
-    return codes, tf * idf.of(codes)
+    return codes, tf * idf_of(np.frombuffer(dfs, np.int32) if dfs else np.ones(1, np.int32), n_docs)
 
 
-def _signature_batches(idf: Idf):
-    def run(batches):
-        words = word_kernel()
-        for batch in batches:
-            n = batch.num_rows
-            keys = np.zeros((n, BANDS), np.uint64)
-            full = np.zeros(n, bool)
-            rows: list[int] = []
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            size = 0
+def _sign_block(n_docs: int):
+    """(doc, digest, keys, dfs) of a block's rows, given the df above 1 of its shingles."""
 
-            def flush():
-                owner = np.repeat(np.arange(len(rows)), [len(c) for c, _ in held])
-                samples = icws(np.concatenate([c for c, _ in held]), np.concatenate([w for _, w in held]), owner, len(rows))
-                keys[rows] = band_keys(samples)
-
-            for row, shingles in shingles_of(batch.column("text"), words):
-                if not len(shingles):
-                    continue
-                full[row] = True
-                rows.append(row)
-                held.append(_weighted(shingles, idf))
-                size += len(held[-1][0])
-                if size > 200_000:
-                    flush()
-                    rows, held, size = [], [], 0
-            if rows:
+    def run(rows: pa.Table, table: pa.Table) -> pa.Table:
+        words = word_kernel()
+        codes = np.concatenate([np.zeros(0, np.uint64), *(_unpack(x.as_py(), np.uint64) for x in table.column("codes"))])
+        df = np.concatenate([np.zeros(0, np.int32), *(_unpack(x.as_py(), np.int32) for x in table.column("df"))])
+        order = np.argsort(codes)
+        codes, df = np.append(codes[order], ~np.uint64(0)), np.append(df[order], np.int32(1))
+        n = rows.num_rows
+        keys = np.zeros((n, BANDS), np.uint64)
+        full = np.zeros(n, bool)
+        dfs = [b""] * n
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            count = np.array([len(c) for _, c, _ in held])
+            own = np.concatenate([c for _, c, _ in held])
+            at = np.searchsorted(codes, own)
+            found = np.where(codes[at] == own, df[at], np.int32(1))
+            weights = np.concatenate([t for _, _, t in held]) * idf_of(found, n_docs)
+            owner = np.repeat(np.arange(len(held)), count)
+            keys[[row for row, _, _ in held]] = band_keys(icws(own, weights, owner, len(held)))
+            heads = np.cumsum(count) - count
+            for i in np.flatnonzero(np.maximum.reduceat(found, heads) > 1).tolist():
+                dfs[held[i][0]] = found[heads[i] : heads[i] + count[i]].tobytes()
+
+        for row, shingles in shingles_of(rows.column("text"), words):
+            if not len(shingles):
+                continue
+            full[row] = True
+            held.append((row, *np.unique(shingles, return_counts=True)))
+            size += len(held[-1][1])
+            if size > 200_000:
                 flush()
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], np.cumsum(np.where(full, BANDS, 0)))).astype(np.int32)),
-                pa.array(keys[full].view(np.int64).ravel()),
-            )
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("digest"), lists], ["doc", "digest", "keys"])
+                held, size = [], 0
+        if held:
+            flush()
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.concatenate(([0], np.cumsum(np.where(full, BANDS, 0)))).astype(np.int32)),
+            pa.array(keys[full].view(np.int64).ravel()),
+        )
+        own = [rows.column(c).combine_chunks() for c in ("doc", "digest")]
+        return pa.Table.from_arrays([*own, lists, pa.array(dfs, pa.binary())], ["doc", "digest", "keys", "dfs"])
 
     return run
 
 
+def sign(idf: Idf) -> DataFrame:
+    """(doc, digest, keys, dfs) of every row: band keys, none without shingles, and the df of its sorted distinct shingles."""
+    by_block = idf.blocks.select("block", "doc", "digest", "text").groupBy("block").cogroup(idf.table.groupBy("block"))
+    return by_block.applyInArrow(_sign_block(idf.n_docs), "doc long, digest binary, keys array<long>, dfs binary")
+
+
 # ------------------------------------------------------------------------------------------ verification
 
 
@@ -279,17 +340,18 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return common / whole if whole > 0 else 1.0
 
 
-def _verify_batches(idf: Idf, threshold: float):
+def _verify_batches(n_docs: int, threshold: float):
     def run(batches):
         words = word_kernel()
         last: dict[int, tuple] = {}
         for batch in batches:
             left = batch.column("rep").to_numpy(zero_copy_only=False)
-            right = [_weighted(s, idf) for _, s in shingles_of(batch.column("text"), words)]
+            dfs, rep_dfs = batch.column("dfs"), batch.column("rep_dfs")
+            right = [_weighted(s, dfs[i].as_py(), n_docs) for i, s in shingles_of(batch.column("text"), words)]
             texts, ok = batch.column("rep_text"), np.zeros(batch.num_rows, bool)
             for i, rep in enumerate(left):
                 if rep not in last:  # rows come sorted by rep
-                    last = {rep: _weighted(next(shingles_of(texts.slice(i, 1), words))[1], idf)}
+                    last = {rep: _weighted(next(shingles_of(texts.slice(i, 1), words))[1], rep_dfs[i].as_py(), n_docs)}
                 ok[i] = weighted_jaccard(last[rep], right[i]) >= threshold
             yield batch.select(["rep", "doc"]).filter(pa.array(ok))
 
@@ -297,16 +359,17 @@ def _verify_batches(idf: Idf, threshold: float):
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf: Idf, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (rep, doc) whose texts are similar enough. ``texts`` is (doc, text), one row per node."""
+    """The pairs (rep, doc) whose texts are similar enough. ``texts`` is (doc, text, dfs), one row per node."""
     with_text = pairs.join(texts, "doc")
-    both = with_text.join(texts.select(F.col("doc").alias("rep"), F.col("text").alias("rep_text")), "rep")
-    return both.select("rep", "doc", "text", "rep_text").mapInArrow(_verify_batches(idf, threshold), "rep long, doc long")
+    reps = texts.select(F.col("doc").alias("rep"), F.col("text").alias("rep_text"), F.col("dfs").alias("rep_dfs"))
+    both = with_text.join(reps, "rep").select("rep", "doc", "text", "dfs", "rep_text", "rep_dfs")
+    return both.mapInArrow(_verify_batches(idf.n_docs, threshold), "rep long, doc long")
 
 
 # -------------------------------------------------------------------------------------------- exact pairs
 
 
-def _term_batches(idf: Idf):
+def _term_batches(n_docs: int):
     def run(batches):
         words = word_kernel()
         for batch in batches:
@@ -320,7 +383,7 @@ def _term_batches(idf: Idf):
                 )
 
             for row, shingles in shingles_of(batch.column("text"), words):
-                codes, w = _weighted(shingles, idf)
+                codes, w = _weighted(shingles, batch.column("dfs")[row].as_py(), n_docs)
                 held.append((np.full(len(codes), row), codes, w, np.full(len(codes), w.sum())))
                 size += len(codes)
                 if size > 200_000:
@@ -340,8 +403,8 @@ def exact_pairs(root_of: DataFrame, texts: DataFrame, idf: Idf, threshold: float
     weights on either side. Shingles of one root make no pair and come first.
     """
     terms = materialize(
-        root_of.join(texts, "doc").select("doc", F.xxhash64("text").alias("part"), "root", "text")
-        .mapInArrow(_term_batches(idf), "doc long, part long, root long, h long, w double, whole double"),
+        root_of.join(texts, "doc").select("doc", F.xxhash64("text").alias("part"), "root", "text", "dfs")
+        .mapInArrow(_term_batches(idf.n_docs), "doc long, part long, root long, h long, w double, whole double"),
         "terms",
     )
     mixed = F.min("root") != F.max("root")
@@ -418,7 +481,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         return rows, None
     keys = rows.select(F.col("doc").alias("doc_id"), F.when(F.col("doc").isNull(), F.col("text")).alias("own")).distinct()
     keys = materialize(keys.orderBy(F.col("doc_id").isNull(), "doc_id", "own").withColumn("doc", F.monotonically_increasing_id()), "numbers")
-    return materialize(_with_number(docs, keys).select(F.col("__doc").alias("doc"), text_or_empty().alias("text")), "numbered"), keys
+    return materialize(_with_number(docs.select("doc_id", "text"), keys).select(F.col("__doc").alias("doc"), text_or_empty().alias("text")), "numbered"), keys
 
 
 def _with_number(docs: DataFrame, numbers: DataFrame | None) -> DataFrame:
@@ -447,15 +510,13 @@ def near_duplicate_classes(rows: DataFrame, threshold: float = THRESHOLD) -> tup
     """(doc, class_id), a row per row of ``rows`` (doc, text); ``class_id`` is the smallest of the class. Also whether
     some ``doc`` repeats."""
     idf = learn_idf(rows)
-    signed = materialize(
-        rows.withColumn("digest", digest16(F.col("text"))).mapInArrow(
-            _signature_batches(idf), "doc long, digest binary, keys array<long>"
-        ),
-        "signatures",
-    )
+    signed = materialize(sign(idf), "signatures")
     nodes = materialize(signed.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("keys").alias("keys")), "nodes")
     repeats = not signed.groupBy("doc").count().filter("count > 1").isEmpty()
-    texts = rows.dropDuplicates(["doc", "text"]) if repeats else rows
+    texts, dfs = idf.blocks.select("doc", "digest", "text"), signed.select("doc", "digest", "dfs")
+    if repeats:
+        texts, dfs = (x.dropDuplicates(["doc", "digest"]) for x in (texts, dfs))
+    texts = texts.join(dfs, ["doc", "digest"] if repeats else "doc").select("doc", "text", "dfs")
     keyed = nodes.filter(F.size("keys") > 0).select(F.explode("keys").alias("key"), "doc")
     links = materialize(verify(star_pairs(keyed), texts, idf, threshold), "links")
     if repeats:  # the texts of one id are one document

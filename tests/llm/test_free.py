@@ -345,6 +345,28 @@ def test_near_duplicate_classes_equal_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == set(want.values())
 
 
+def test_every_shingle_weighs_by_its_own_df(spark, monkeypatch):
+    """Eight documents of 400 share a passage: common words of so few documents still weigh less than words of one."""
+    from quarrygraph.llm import neardup
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    passage, rows = [word() for _ in range(104)], []
+    for i in range(400):
+        rows.append((i, " ".join(passage + [word() for _ in range(11)] if i % 50 == 7 else [word() for _ in range(rng.randint(1, 30))])))
+    rows += [(900, rows[7][1]), (901, rows[8][1] + " " + word())]
+    df = collections.Counter(s for _, t in rows for s in shingles(t))
+    want = sorted(math.log1p(len(rows) / n) for n in df.values() if n > 1)
+    for block, bucket in ((neardup.DF_BLOCK, neardup.DF_BUCKET), (2000, 5000)):
+        monkeypatch.setattr(neardup, "DF_BLOCK", block)
+        monkeypatch.setattr(neardup, "DF_BUCKET", bucket)
+        idf = neardup.learn_idf(neardup.numbered(frame(spark, rows))[0])
+        assert np.allclose(sorted(idf.values), want)
+        got = {r.doc_id: r.class_id for r in neardup.classed(frame(spark, rows)).collect()}
+        assert got == classes_by_brute_force(rows)
+        assert len({got[i] for i in range(7, 400, 50)}) == 8 and got[900] == 7
+
+
 def test_near_duplicates_of_a_large_family_are_all_found(spark):
     """A template family below the threshold shares keys by the thousand; the pairs in its middle are above it."""
     from quarrygraph.llm.neardup import classed
