@@ -10,9 +10,10 @@ Search: every query is compared to all recordings. Recordings with equal fingerp
 are compared once. Two classes are linked if their integers agree exactly at ``needed`` positions or more, at one
 offset, and the bit error rate over the overlap there is at most ``MAX_BER``. What is needed is ``MIN_HITS`` of the
 longer one's positions or, with ``excerpts``, of the shorter one's: then ``EVIDENCE`` integers at least, or all of the
-shorter one, unless ``MIN_HITS`` of the longer one's positions are fewer. Both sides then share a number of their rarest
-integers, and only pairs that do are aligned; integers above a frequency floor, whose number is bounded, are ordered by
-their frequency, all others count as rare and are ordered by hash. No candidate is capped.
+shorter one, unless ``MIN_HITS`` of the longer one's positions are fewer. Equal integers at one offset lie in the
+shorter one's positions, so two of them are near each other: both sides hold these two integers at the same distance,
+and only pairs with such a landmark are aligned. Landmarks are made of integers that some query holds. Where one equal
+integer is enough, the integer itself is the landmark. No candidate is capped.
 
 Media come as WAV bytes (8 to 32 bit PCM, any number of channels) or as raw unsigned 8-bit samples.
 
@@ -38,11 +39,9 @@ from pyspark.sql import functions as F
 from .common import by_value, materialize, mix64
 
 WINDOW = 16
-CHUNK = 4096
 #: Added to mean energies of unit-length frames, so that silent pitch classes are not compared by their noise.
 FLOOR = 0.02
 MIN_HITS, MAX_BER, EVIDENCE = 0.2, 0.3, 5
-COMMON_SHARE = 0.002
 
 
 @dataclass(frozen=True)
@@ -181,55 +180,66 @@ def fingerprints(media: DataFrame, audio: Audio = Audio()) -> DataFrame:
 # ---------------------------------------------------------------------------------------------- search
 
 
-def _common_in_chunks(batches):
-    """Integers that two recordings of a chunk or more share, with their number there: what the sum over chunks
-    lacks is at most one for each chunk."""
-    held: list[np.ndarray] = []
-
-    def report():
-        marks, n = np.unique(np.concatenate(held), return_counts=True)
-        more = n > 1
-        return pa.RecordBatch.from_arrays([pa.array(marks[more].astype(np.int64)), pa.array(n[more].astype(np.int64))], ["mark", "n"])
-
-    for batch in batches:
-        for blob in batch.column("codes"):
-            held.append(np.unique(np.frombuffer(blob.as_py(), "<u4")))
-            if len(held) == CHUNK:
-                yield report()
-                held = []
-    if held:
-        yield report()
-
-
 def needed(n, m, min_hits: float, excerpts: bool):
     """Equal integers that recordings of ``n`` and ``m`` positions (columns) must have at one offset."""
     low, most = F.least(n, m), F.ceil(F.greatest(n, m) * min_hits)
     return F.greatest(F.ceil(low * min_hits), F.least(F.lit(EVIDENCE), low, most)) if excerpts else most
 
 
-def _posting_batches(common: list[tuple[int, int]]):
-    """Rows (mark, id, n, times, onward) of each recording: its integers with their repeats and the number of its
-    positions from there on in order of rarity.
+def farthest(n: int, min_hits: float, excerpts: bool) -> int:
+    """How far apart two neighbouring equal integers may be at most, where a recording of ``n`` positions is linked and
+    needs two or more. Longer partners need no fewer than one of ``n`` positions, and two at least."""
+    m = np.arange(1, n + 1)
+    most = np.ceil(n * min_hits)
+    need = np.maximum(np.ceil(m * min_hits), np.minimum(np.minimum(EVIDENCE, m), most)) if excerpts else np.full(n, most)
+    return int(((m - 1) // np.maximum(need - 1, 1))[need > 1].max(initial=0 if need[-1] > 1 else n - 1))
 
-    Of the o common positions that a link needs, the first l come before the other o - l, so at least o - l + 1
-    positions of either side are onward from each integer among them.
-    """
-    table = dict(common)
+
+def _posting_batches(batches):
+    """Rows (mark, id, pos) of each recording."""
+    for batch in batches:
+        parts = [np.frombuffer(blob.as_py(), "<u4") for blob in batch.column("codes")]
+        size = np.array([len(x) for x in parts], np.int64)
+        if size.sum():
+            pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            ids = np.repeat(np.array(batch.column("id").to_pylist(), np.int64), size)
+            arrays = [np.concatenate(parts).view(np.int32), ids, pos.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["mark", "id", "pos"])
+
+
+def _landmark_batches(min_hits: float, excerpts: bool, asked: bool):
+    """Rows (key, id) of recordings (id, n, marks), ``marks`` being some of their integers, by place: a key for every two
+    integers that are near enough, and keys of single integers for partners where one is enough: both sides short, or
+    one of them of a single position."""
+    reach: dict[int, int] = {}
+    short = lambda n: np.ceil(n * min_hits) <= 1
+
+    def keys_of(n: int, pos: np.ndarray, marks: np.ndarray):
+        if n not in reach:
+            reach[n] = farthest(n, min_hits, excerpts)
+        for step in range(1, min(reach[n], len(pos) - 1) + 1):
+            gap = pos[step:] - pos[:-step]
+            near = np.flatnonzero(gap <= reach[n])
+            yield mix64(mix64(marks[near] << np.uint64(32) | marks[near + step]) + gap[near].astype(np.uint64))
+        kinds = [1] if short(n) else []
+        if excerpts:  # 2: the held one has a single position; 3: the query has
+            kinds += ([2, 3] if asked else [2]) if n == 1 else [2 if asked else 3]
+            kinds += [3] if n == 1 and not asked else []
+        for kind in kinds:
+            yield mix64(marks | np.uint64(kind << 40))
 
     def run(batches):
         for batch in batches:
-            parts = []
-            for i, blob in zip(batch.column("id").to_pylist(), batch.column("codes")):
-                own, times = np.unique(np.frombuffer(blob.as_py(), "<u4"), return_counts=True)
-                df = np.array([table.get(c, 0) for c in own.tolist()])
-                order = np.lexsort((mix64(own.astype(np.uint64)), df))
-                onward = np.cumsum(times[order][::-1])[::-1]
-                m = len(own)
-                parts.append((own[order].astype(np.int64), np.full(m, i), np.full(m, onward[0]), times[order], onward))
+            parts, ids = [], []
+            for i, n, found in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), batch.column("marks")):
+                both = found.values
+                pos = both.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                marks = both.field(1).to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
+                keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys_of(n, pos, marks)]))
+                parts.append(keys.view(np.int64))
+                ids.append(np.full(len(keys), i))
             if parts:
-                mark, ids, *rest = (np.concatenate(x) for x in zip(*parts))
-                arrays = [pa.array(mark), pa.array(ids.astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in rest)]
-                yield pa.RecordBatch.from_arrays(arrays, ["mark", "id", "n", "times", "onward"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(ids).astype(np.int64))], ["key", "id"])
 
     return run
 
@@ -281,7 +291,9 @@ def search(prints: DataFrame, is_query, min_hits: float = MIN_HITS, max_ber: flo
     ``class_id`` is the smallest id with this fingerprint. ``links``, held by the class's own row (id = class_id),
     lists the classes that hold a query and align with it: (query_class, offset, hits, ber).
     """
-    prints = materialize(prints.withColumn("digest", F.unhex(F.md5("codes"))).withColumn("is_query", is_query), "fingerprints")
+    length = (F.octet_length("codes") / 4).cast("int")
+    prints = prints.withColumn("digest", F.unhex(F.md5("codes"))).withColumn("is_query", is_query)
+    prints = materialize(prints.withColumn("n_codes", length).withColumn("codes_crc32", F.crc32("codes")), "fingerprints")
     full = F.octet_length("codes") > 0
     classes = (
         prints.filter(full)
@@ -289,43 +301,39 @@ def search(prints: DataFrame, is_query, min_hits: float = MIN_HITS, max_ber: flo
         .agg(F.min("id").alias("id"), F.bool_or("is_query").alias("asks"), F.first("codes").alias("codes"))
     )
     classes = materialize(classes.filter("id is not null"), "print-classes")
-    n = classes.count()
-    common = (
-        classes.select("codes").mapInArrow(_common_in_chunks, "mark long, n long")
-        .groupBy("mark").agg(F.sum("n").alias("n")).filter(F.col("n") > max(1, COMMON_SHARE * n))
-    )  # at most mean landmarks per recording / COMMON_SHARE of them, however many recordings there are
-    table = [(r.mark, r.n) for r in common.collect()]
-    postings = _posting_batches(table)
-    sides = "mark long, id long, n int, times int, onward int"
-    held = classes.select("id", "codes").mapInArrow(postings, sides)
-    asked = classes.filter("asks").select("id", "codes").mapInArrow(postings, sides)
-    asked = asked.select("mark", *[F.col(c).alias(f"q_{c}") for c in ("id", "n", "times", "onward")])
-    need = needed(F.col("n"), F.col("q_n"), min_hits, excerpts)
-    first = F.ceil(need / 3)  # so many of the rarest are counted
-    pairs = (
-        held.join(asked, (held["mark"] == asked["mark"]) & (F.col("q_id") != F.col("id")) & (F.least("onward", "q_onward") > need - first))
-        .groupBy(F.col("q_id").alias("query"), "id")
-        .agg(F.sum(F.least("times", "q_times")).alias("shared"), F.min(need).alias("need"))
-        .filter(F.col("shared") >= F.ceil(F.col("need") / 3))
-        .select("query", "id", "need")
-    )
+    held = classes.select("id", "codes").mapInArrow(_posting_batches, "mark int, id long, pos int")
+    asked = classes.filter("asks").select("id", "codes").mapInArrow(_posting_batches, "mark int, id long, pos int")
+    matched = held.join(asked.select("mark").distinct(), "mark", "left_semi")
+    matched = matched.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "mark"))).alias("marks"))
+    sized = classes.select("id", "asks", length.alias("n"))
+    matched = materialize(matched.join(sized, "id"), "matched")
+    keys = lambda rows, is_asked: rows.mapInArrow(_landmark_batches(min_hits, excerpts, is_asked), "key long, id long")
+    mine, queries = keys(matched.select("id", "n", "marks"), False), keys(matched.filter("asks").select("id", "n", "marks"), True)
+    # near copies share most of their landmarks: equal lists of holders are paired once
+    holders = (
+        mine.withColumn("query", F.lit(None).cast("long")).union(queries.select("key", F.lit(None).cast("long"), F.col("id")))
+        .groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.array_sort(F.collect_list("query")).alias("queries"))
+        .filter((F.size("queries") > 0) & (F.size("ids") > F.when(F.array_contains("ids", F.get("queries", F.lit(0))) & (F.size("queries") == 1), 1).otherwise(0)))
+        .select("ids", "queries").distinct()
+    )
+    pairs = holders.select("ids", F.explode("queries").alias("query")).select("query", F.explode("ids").alias("id"))
+    pairs = pairs.filter("query <> id").distinct()
+    need = needed(F.octet_length("codes") / 4, F.octet_length("query_codes") / 4, min_hits, excerpts)
     links = (
         pairs.join(classes.select("id", "codes"), "id")
         .join(classes.filter("asks").select(F.col("id").alias("query"), F.col("codes").alias("query_codes")), "query")
+        .withColumn("need", need)
         .mapInArrow(_align_batches(max_ber), "query long, id long, offset int, hits int, ber double")
         .groupBy(F.col("id").alias("class_id"))
         .agg(F.array_sort(F.collect_list(F.struct(F.col("query").alias("query_class"), "offset", "hits", F.round("ber", 6).alias("ber")))).alias("links"))
     )
     ids = classes.select(F.col("digest"), F.col("id").alias("class_id"))
-    out = prints.join(ids, "digest", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    out = prints.drop("codes").join(ids, "digest", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     mine = F.col("id").eqNullSafe(F.col("class_id"))  # other rows have no links: dealt by their id, not together by a null key
     links = links.select(F.col("class_id").alias("__class"), F.lit(0).cast("long").alias("__other"), "links")
     other = F.when(mine, F.lit(0).cast("long")).otherwise(F.xxhash64("id").bitwiseOR(F.lit(1).cast("long")))
     return out.join(links, (F.col("class_id") == F.col("__class")) & (other == F.col("__other")), "left").select(
-        "id", "class_id",
-        (F.octet_length("codes") / 4).cast("int").alias("n_codes"),
-        F.crc32("codes").alias("codes_crc32"),
-        "is_query",
+        "id", "class_id", "n_codes", "codes_crc32", "is_query",
         F.coalesce("links", F.array().cast("array<struct<query_class:bigint,offset:int,hits:int,ber:double>>")).alias("links"),
     )
 

@@ -85,6 +85,63 @@ def test_search_misses_no_link(spark):
     assert {(x.query_class, r.id) for r in got for x in r.links} == want and want
 
 
+@pytest.mark.parametrize("excerpts", [False, True])
+def test_landmarks_miss_no_link(spark, excerpts):
+    """Short and long prints of few integers, cut, changed and shifted, against all pairs by brute force."""
+    from pyspark.sql import functions as F
+
+    from quarrygraph.llm import chroma
+
+    rng, rows = random.Random(12), []
+    base = [[rng.getrandbits(32) for _ in range(70)] for _ in range(5)]
+    for i in range(260):
+        b = rng.choice(base)
+        n = rng.choice([1, 2, 3, 4, 5, 6, 7, 9, 11, 13, 16, 21, 26, 31, 40, 60])
+        at = rng.randrange(len(b) - n + 1)
+        kept = rng.choice([0.1, 0.25, 0.4, 0.8, 1.0])
+        rows.append((i, [x if rng.random() < kept else x ^ (1 << rng.randrange(32)) for x in b[at : at + n]]))
+    prints = [(i, bytearray(np.array(c, "<u4").tobytes())) for i, c in rows]
+    frame = spark.createDataFrame(prints, "id long, codes binary")
+    got = chroma.search(frame, F.col("id") % 3 == 0, excerpts=excerpts).collect()
+    code, class_of = {i: np.array(c, "<u4") for i, c in rows}, {r.id: r.class_id for r in got}
+    want = set()
+    for q in {class_of[i] for i in code if i % 3 == 0}:
+        for d in set(class_of.values()) - {q}:
+            _, hits, ber = chroma.align(code[q], code[d])
+            low, high = sorted((len(code[q]), len(code[d])))
+            need = math.ceil(high * chroma.MIN_HITS)
+            if excerpts:
+                need = max(math.ceil(low * chroma.MIN_HITS), min(chroma.EVIDENCE, low, need))
+            if hits >= need and ber <= chroma.MAX_BER:
+                want.add((q, d))
+    assert {(x.query_class, r.id) for r in got for x in r.links} == want
+    assert len(want) > 150
+
+
+def test_integers_shared_by_chance_make_no_candidates():
+    """Two recordings are brought together by integers at the same distance, not by one that both hold."""
+    import pyarrow as pa
+
+    from quarrygraph.llm.chroma import _landmark_batches, farthest
+
+    rng = random.Random(2)
+    a = [rng.getrandbits(31) for _ in range(80)]
+    b = [rng.getrandbits(31) for _ in range(80)]
+    for i in range(0, 80, 8):
+        b[(i + 3) % 80] = a[i * 3 % 80]  # the same integers at other distances
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("mark", pa.int32())]))
+
+    def keys(codes, asked):
+        marks = pa.array([[{"pos": p, "mark": m} for p, m in enumerate(codes)]], kind)
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([len(codes)]), marks], ["id", "n", "marks"])
+        (out,) = _landmark_batches(0.2, True, asked)(iter([batch]))
+        return set(out["key"].to_pylist())
+
+    assert len(set(a) & set(b)) == 10 and not keys(a, True) & keys(b, False)
+    assert len(keys(a, True) & keys(a, False)) >= 79
+    assert [farthest(n, 0.2, True) for n in (1, 5, 8, 10, 25, 80)] == [0, 4, 7, 9, 6, 6]
+
+
 def test_excerpts_find_their_recording(spark):
     from pyspark.sql import functions as F
 
