@@ -55,7 +55,7 @@ BANDS, ROWS = 24, 5
 K = BANDS * ROWS
 BLOCK_BYTES = 2 << 20
 #: Text bytes of a block of rows that share a table of document frequencies, and of what a bucket of the hash range counts.
-DF_BLOCK, DF_BUCKET = 8 << 20, 12 << 20
+DF_BLOCK, DF_BUCKET = 4 << 20, 4 << 20
 #: Rows of a shingle that meet in one cell of the exact join; a more frequent one is dealt to pairs of blocks.
 CELL = 500
 
