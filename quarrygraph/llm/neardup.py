@@ -40,6 +40,7 @@ from .common import (
     SetAside,
     by_value,
     digest16,
+    discard,
     materialize,
     mix64,
     row_blocks,
@@ -415,6 +416,7 @@ def exact_pairs(root_of: DataFrame, texts: DataFrame, idf: Idf, threshold: float
         terms.join(shared, "h").withColumn("s", F.sum("w").over(onward)).filter(F.col("s") >= F.col("whole") * (threshold * low)).drop("w", "n"),
         "prefixes",
     )
+    discard(terms)
     cells = prefix.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("blocks"), mixed.alias("mixed")).filter("mixed")
     dealt = (
         prefix.join(cells, "h")
@@ -429,12 +431,18 @@ def exact_pairs(root_of: DataFrame, texts: DataFrame, idf: Idf, threshold: float
         & (F.least("l_s", "s") >= (F.col("l_whole") + F.col("whole")) * (threshold / (1 + threshold) * low))
     )
     same = (left["h"] == dealt["h"]) & (left["lo"] == dealt["lo"]) & (left["hi"] == dealt["hi"])
-    return left.join(dealt, same & pair).select(F.col("l_doc").alias("rep"), "doc").distinct()
+    return _from(prefix, left.join(dealt, same & pair).select(F.col("l_doc").alias("rep"), "doc").distinct())
 
 
 # -------------------------------------------------------------------------------------------- components
 
 
+def _from(table: DataFrame, result: DataFrame) -> DataFrame:
+    """``result``, which is read from ``table`` and can be discarded as it can."""
+    result.scratch = table.scratch
+    return result
+
+
 def _spread(df: DataFrame, key: str) -> DataFrame:
     """With a second key that follows from the first. A join on both deals its sides anew even where one is grouped by
     the first, so that adaptive execution may split a hot key's rows over tasks."""
@@ -463,13 +471,15 @@ def components(edges: DataFrame) -> DataFrame:
         large = _spread(both.filter("v > u"), "u").join(_spread(low, "u"), ["u", "__and"]).select(F.col("m").alias("u"), "v")
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = _spread(large, "v").join(_spread(low, "v"), ["v", "__and"]).select("u", "v", "m")
-        edges = materialize(
+        moved = materialize(
             small.select(F.col("m").alias("u"), "v").union(small.select(F.col("m").alias("u"), F.col("u").alias("v"))).filter("u < v").distinct(),
             "edges",
         )
+        discard(edges)
+        edges = moved
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
-            return edges.select(F.col("v").alias("doc"), F.col("u").alias("root"))
+            return _from(edges, edges.select(F.col("v").alias("doc"), F.col("u").alias("root")))
         before = now
 
 
@@ -511,6 +521,7 @@ def near_duplicate_classes(rows: DataFrame, threshold: float = THRESHOLD) -> tup
     some ``doc`` repeats."""
     idf = learn_idf(rows)
     signed = materialize(sign(idf), "signatures")
+    discard(idf.table)
     nodes = materialize(signed.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("keys").alias("keys")), "nodes")
     repeats = not signed.groupBy("doc").count().filter("count > 1").isEmpty()
     texts, dfs = idf.blocks.select("doc", "digest", "text"), signed.select("doc", "digest", "dfs")
@@ -518,7 +529,8 @@ def near_duplicate_classes(rows: DataFrame, threshold: float = THRESHOLD) -> tup
         texts, dfs = (x.dropDuplicates(["doc", "digest"]) for x in (texts, dfs))
     texts = texts.join(dfs, ["doc", "digest"] if repeats else "doc").select("doc", "text", "dfs")
     keyed = nodes.filter(F.size("keys") > 0).select(F.explode("keys").alias("key"), "doc")
-    links = materialize(verify(star_pairs(keyed), texts, idf, threshold), "links")
+    first = materialize(verify(star_pairs(keyed), texts, idf, threshold), "links")
+    links = first
     if repeats:  # the texts of one id are one document
         links = links.union(
             signed.join(nodes.select("digest", F.col("doc").alias("rep")), "digest").filter("rep <> doc").select("rep", "doc")
@@ -535,11 +547,16 @@ def near_duplicate_classes(rows: DataFrame, threshold: float = THRESHOLD) -> tup
         .select("rep", "doc")
     )
     links = materialize(links.union(verify(tries, texts, idf, threshold)), "links")
+    discard(first, found)
     found = components(links)
-    root_of = _unsettled(unsettled.select("key", "doc"), found).select("doc", "root").distinct()
-    last = materialize(verify(exact_pairs(root_of, texts, idf, threshold), texts, idf, threshold), "links")
+    still = _unsettled(unsettled.select("key", "doc"), found)
+    exact = exact_pairs(still.select("doc", "root").distinct(), texts, idf, threshold)
+    last = materialize(verify(exact, texts, idf, threshold), "links")
+    discard(unsettled, still, exact, idf.blocks)
     if not last.isEmpty():
+        discard(found)
         found = components(links.union(last))
+    discard(links, last)
     classes = nodes.join(found, "doc", "left").select("digest", F.coalesce("root", "doc").alias("class_id"))
     return signed.select("doc", "digest").join(classes, "digest").select("doc", "class_id"), repeats
 
