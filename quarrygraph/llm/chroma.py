@@ -12,8 +12,10 @@ offset, and the bit error rate over the overlap there is at most ``MAX_BER``. Wh
 longer one's positions or, with ``excerpts``, of the shorter one's: then ``EVIDENCE`` integers at least, or all of the
 shorter one, unless ``MIN_HITS`` of the longer one's positions are fewer. Equal integers at one offset lie in the
 shorter one's positions, so two of them are near each other: both sides hold these two integers at the same distance,
-and only pairs with such a landmark are aligned. Landmarks are made of integers that some query holds. Where one equal
-integer is enough, the integer itself is the landmark. No candidate is capped.
+and only pairs with such a landmark are aligned. Where one equal integer is enough, the integer itself is the landmark.
+Queries' landmarks set bits of a Bloom filter, so that of the other recordings' landmarks those that no query holds are
+dropped where they are made. It grows with the queries up to ``MOST_BITS``; beyond, it lets more pass, and the join on the
+landmarks themselves decides as ever. No candidate is capped.
 
 Media come as WAV bytes (8 to 32 bit PCM, any number of channels) or as raw unsigned 8-bit samples.
 
@@ -36,12 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, materialize, mix64
+from .common import by_value, discard, materialize, mix64, row_blocks
 
 WINDOW = 16
 #: Added to mean energies of unit-length frames, so that silent pitch classes are not compared by their noise.
 FLOOR = 0.02
 MIN_HITS, MAX_BER, EVIDENCE = 0.2, 0.3, 5
+#: Bits and probes of the filter for each landmark of a query, its largest size (128 MB) and that of a page, in bits.
+KEY_BITS, PROBES, MOST_BITS, PAGE_BITS = 16, 4, 1 << 30, 1 << 19
+#: Integers whose landmarks are made at once.
+BLOCK = 200_000
 
 
 @dataclass(frozen=True)
@@ -195,51 +201,114 @@ def farthest(n: int, min_hits: float, excerpts: bool) -> int:
     return int(((m - 1) // np.maximum(need - 1, 1))[need > 1].max(initial=0 if need[-1] > 1 else n - 1))
 
 
-def _posting_batches(batches):
-    """Rows (mark, id, pos) of each recording."""
+def _placed(batches):
+    """Rows (id, n, marks) of rows (id, codes): all integers of a recording with their places."""
     for batch in batches:
-        parts = [np.frombuffer(blob.as_py(), "<u4") for blob in batch.column("codes")]
+        parts = [np.frombuffer(blob.as_py(), "<i4") for blob in batch.column("codes")]
         size = np.array([len(x) for x in parts], np.int64)
-        if size.sum():
-            pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            ids = np.repeat(np.array(batch.column("id").to_pylist(), np.int64), size)
-            arrays = [np.concatenate(parts).view(np.int32), ids, pos.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["mark", "id", "pos"])
+        ends = np.concatenate(([0], np.cumsum(size)))
+        pos = (np.arange(ends[-1]) - np.repeat(ends[:-1], size)).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.int32), *parts])
+        marks = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(pos), pa.array(flat)], ["pos", "mark"]))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), marks], ["id", "n", "marks"])
 
 
-def _landmark_batches(min_hits: float, excerpts: bool, asked: bool):
-    """Rows (key, id) of recordings (id, n, marks), ``marks`` being some of their integers, by place: a key for every two
+def _probes(keys: np.ndarray, size: int):
+    """The bits of a filter of ``size`` bits, a power of two, that each key sets."""
+    step = mix64(keys) | np.uint64(1)
+    for i in range(PROBES):
+        yield (keys + np.uint64(i) * step) & np.uint64(size - 1)
+
+
+def _held_by(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the keys that the filter holds."""
+    at, step = np.arange(len(keys)), mix64(keys) | np.uint64(1)
+    for i in range(PROBES):
+        bit = (keys[at] + np.uint64(i) * step[at]) & np.uint64(8 * len(bits) - 1)
+        at = at[(bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    return at
+
+
+def _page_batches(size: int):
+    """Rows (page, bits) of rows of keys: the bits they set in a page of the filter."""
+
+    def run(batches):
+        for batch in batches:
+            keys = np.unique(batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64))
+            bits = np.unique(np.concatenate([np.zeros(0, np.uint64), *_probes(keys, size)]))
+            page, first = np.unique(bits // np.uint64(PAGE_BITS), return_index=True)
+            parts = np.split((bits % np.uint64(PAGE_BITS)).astype("<u4"), first[1:]) if len(page) else []
+            yield pa.RecordBatch.from_arrays([pa.array(page.astype(np.int64)), pa.array([x.tobytes() for x in parts], pa.binary())], ["page", "bits"])
+
+    return run
+
+
+def _join_page(page: pa.Table) -> pa.Table:
+    whole = np.zeros(PAGE_BITS, np.uint8)
+    for x in page.column("bits"):
+        whole[np.frombuffer(x.as_py(), "<u4")] = 1
+    return pa.table({"page": page.column("page").slice(0, 1), "bits": pa.array([np.packbits(whole, bitorder="little").tobytes()], pa.binary())})
+
+
+def landmark_filter(keys: DataFrame) -> np.ndarray:
+    """The bytes of a Bloom filter of the column ``key``; pages are put together apart, and the driver lines them up."""
+    wish, size = KEY_BITS * keys.count(), PAGE_BITS
+    while size < min(wish, MOST_BITS):
+        size *= 2
+    pages = keys.select("key").mapInArrow(_page_batches(size), "page long, bits binary").groupBy("page").applyInArrow(_join_page, "page long, bits binary")
+    out = np.zeros(size // 8, np.uint8)
+    for row in pages.toLocalIterator():
+        out[row.page * (PAGE_BITS // 8) : (row.page + 1) * (PAGE_BITS // 8)] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def _landmark_batches(min_hits: float, excerpts: bool, asked: bool, wanted=None):
+    """Rows (key, id) of recordings (id, n, marks), ``marks`` being integers of theirs, by place: a key for every two
     integers that are near enough, and keys of single integers for partners where one is enough: both sides short, or
-    one of them of a single position."""
+    one of them of a single position. With ``wanted``, a filter sent to the executors, only the keys that it holds."""
     reach: dict[int, int] = {}
-    short = lambda n: np.ceil(n * min_hits) <= 1
 
-    def keys_of(n: int, pos: np.ndarray, marks: np.ndarray):
-        if n not in reach:
-            reach[n] = farthest(n, min_hits, excerpts)
-        for step in range(1, min(reach[n], len(pos) - 1) + 1):
+    def keys_of(owner: np.ndarray, n: np.ndarray, far: np.ndarray, pos: np.ndarray, marks: np.ndarray):
+        """Keys, and the places of the (first) integers they are of."""
+        for step in range(1, len(marks)):
             gap = pos[step:] - pos[:-step]
-            near = np.flatnonzero(gap <= reach[n])
-            yield mix64(mix64(marks[near] << np.uint64(32) | marks[near + step]) + gap[near].astype(np.uint64))
-        kinds = [1] if short(n) else []
+            near = np.flatnonzero((owner[step:] == owner[:-step]) & (gap <= far[step:]))
+            if not len(near):
+                break
+            yield mix64(mix64(marks[near] << np.uint64(32) | marks[near + step]) + gap[near].astype(np.uint64)), near
+        kinds = {1: np.ceil(n * min_hits) <= 1}
         if excerpts:  # 2: the held one has a single position; 3: the query has
-            kinds += ([2, 3] if asked else [2]) if n == 1 else [2 if asked else 3]
-            kinds += [3] if n == 1 and not asked else []
-        for kind in kinds:
-            yield mix64(marks | np.uint64(kind << 40))
+            kinds |= {2: (n == 1) | asked, 3: (n == 1) | (not asked)}
+        for kind, some in kinds.items():
+            at = np.flatnonzero(some)
+            yield mix64(marks[at] | np.uint64(kind << 40)), at
 
     def run(batches):
         for batch in batches:
-            parts, ids = [], []
-            for i, n, found in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), batch.column("marks")):
-                both = found.values
-                pos = both.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                marks = both.field(1).to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
-                keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys_of(n, pos, marks)]))
-                parts.append(keys.view(np.int64))
-                ids.append(np.full(len(keys), i))
+            n, both = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("marks")
+            ends = both.offsets.to_numpy().astype(np.int64)
+            ids, parts, owners = batch.column("id").to_numpy(zero_copy_only=False), [], []
+            for x in set(n.tolist()) - reach.keys():
+                reach[x] = farthest(x, min_hits, excerpts) if x else 0
+            far = np.array([reach[x] for x in n.tolist()], np.int64)
+            for i, j in row_blocks(ends, BLOCK):
+                own = np.repeat(np.arange(i, j), np.diff(ends[i : j + 1]))
+                flat = both.values.slice(ends[i], ends[j] - ends[i])
+                pos = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                marks = flat.field(1).to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32).astype(np.uint64)
+                found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+                for keys, at in keys_of(own, n[own], far[own], pos, marks):
+                    some = slice(None) if wanted is None else _held_by(wanted.value, keys)
+                    found.append((keys[some], own[at[some]]))
+                keys, owner = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((keys, owner))
+                keys, owner = keys[order], owner[order]
+                new = np.ones(len(keys), bool)
+                new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+                parts.append(keys[new].view(np.int64))
+                owners.append(ids[owner[new]])
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(ids).astype(np.int64))], ["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(owners).astype(np.int64))], ["key", "id"])
 
     return run
 
@@ -301,14 +370,14 @@ def search(prints: DataFrame, is_query, min_hits: float = MIN_HITS, max_ber: flo
         .agg(F.min("id").alias("id"), F.bool_or("is_query").alias("asks"), F.first("codes").alias("codes"))
     )
     classes = materialize(classes.filter("id is not null"), "print-classes")
-    held = classes.select("id", "codes").mapInArrow(_posting_batches, "mark int, id long, pos int")
-    asked = classes.filter("asks").select("id", "codes").mapInArrow(_posting_batches, "mark int, id long, pos int")
-    matched = held.join(asked.select("mark").distinct(), "mark", "left_semi")
-    matched = matched.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "mark"))).alias("marks"))
-    sized = classes.select("id", "asks", length.alias("n"))
-    matched = materialize(matched.join(sized, "id"), "matched")
-    keys = lambda rows, is_asked: rows.mapInArrow(_landmark_batches(min_hits, excerpts, is_asked), "key long, id long")
-    mine, queries = keys(matched.select("id", "n", "marks"), False), keys(matched.filter("asks").select("id", "n", "marks"), True)
+
+    def keys(rows, is_asked, wanted=None):
+        marked = _landmark_batches(min_hits, excerpts, is_asked, wanted)
+        return rows.select("id", "codes").mapInArrow(lambda batches: marked(_placed(batches)), "key long, id long")
+
+    queries = materialize(keys(classes.filter("asks"), True), "asked")
+    wanted = prints.sparkSession.sparkContext.broadcast(landmark_filter(queries))
+    mine = keys(classes, False, wanted)
     # near copies share most of their landmarks: equal lists of holders are paired once
     holders = (
         mine.withColumn("query", F.lit(None).cast("long")).union(queries.select("key", F.lit(None).cast("long"), F.col("id")))
@@ -317,7 +386,9 @@ def search(prints: DataFrame, is_query, min_hits: float = MIN_HITS, max_ber: flo
         .select("ids", "queries").distinct()
     )
     pairs = holders.select("ids", F.explode("queries").alias("query")).select("query", F.explode("ids").alias("id"))
-    pairs = pairs.filter("query <> id").distinct()
+    pairs = materialize(pairs.filter("query <> id").distinct(), "pairs")
+    wanted.destroy()
+    discard(queries)
     need = needed(F.octet_length("codes") / 4, F.octet_length("query_codes") / 4, min_hits, excerpts)
     links = (
         pairs.join(classes.select("id", "codes"), "id")
@@ -327,6 +398,8 @@ def search(prints: DataFrame, is_query, min_hits: float = MIN_HITS, max_ber: flo
         .groupBy(F.col("id").alias("class_id"))
         .agg(F.array_sort(F.collect_list(F.struct(F.col("query").alias("query_class"), "offset", "hits", F.round("ber", 6).alias("ber")))).alias("links"))
     )
+    links = materialize(links, "links")
+    discard(pairs)
     ids = classes.select(F.col("digest"), F.col("id").alias("class_id"))
     out = prints.drop("codes").join(ids, "digest", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     mine = F.col("id").eqNullSafe(F.col("class_id"))  # other rows have no links: dealt by their id, not together by a null key
