@@ -48,6 +48,8 @@ MIN_HITS, MAX_BER, EVIDENCE = 0.2, 0.3, 5
 KEY_BITS, PROBES, MOST_BITS, PAGE_BITS = 16, 4, 1 << 30, 1 << 19
 #: Integers whose landmarks are made at once.
 BLOCK = 200_000
+#: Bytes of codes of a cell of the alignment on either side, and below which the held ones are not dealt further.
+CELL_BYTES, LEAST_CELL = 64 << 20, 8 << 20
 
 
 @dataclass(frozen=True)
@@ -186,10 +188,10 @@ def fingerprints(media: DataFrame, audio: Audio = Audio()) -> DataFrame:
 # ---------------------------------------------------------------------------------------------- search
 
 
-def needed(n, m, min_hits: float, excerpts: bool):
-    """Equal integers that recordings of ``n`` and ``m`` positions (columns) must have at one offset."""
-    low, most = F.least(n, m), F.ceil(F.greatest(n, m) * min_hits)
-    return F.greatest(F.ceil(low * min_hits), F.least(F.lit(EVIDENCE), low, most)) if excerpts else most
+def needed(n: int, m: int, min_hits: float, excerpts: bool) -> int:
+    """Equal integers that recordings of ``n`` and ``m`` positions must have at one offset."""
+    low, most = min(n, m), int(np.ceil(max(n, m) * min_hits))
+    return max(int(np.ceil(low * min_hits)), min(EVIDENCE, low, most)) if excerpts else most
 
 
 def farthest(n: int, min_hits: float, excerpts: bool) -> int:
@@ -255,13 +257,26 @@ def landmark_filter(keys: DataFrame) -> np.ndarray:
     wish, size = KEY_BITS * keys.count(), PAGE_BITS
     while size < min(wish, MOST_BITS):
         size *= 2
-    pages = keys.select("key").mapInArrow(_page_batches(size), "page long, bits binary").groupBy("page").applyInArrow(_join_page, "page long, bits binary")
+    parts = keys.select("key").mapInArrow(_page_batches(size), "page long, bits binary")
+    pages = materialize(parts.groupBy("page").applyInArrow(_join_page, "page long, bits binary"), "pages")
     out = np.zeros(size // 8, np.uint8)
     for row in pages.toLocalIterator():
         out[row.page * (PAGE_BITS // 8) : (row.page + 1) * (PAGE_BITS // 8)] = np.frombuffer(row.bits, np.uint8)
+    discard(pages)
     return out
 
 
+def _wanted_batches(wanted):
+    """Rows (id, codes) of rows (key, id, codes), those whose key the filter holds."""
+
+    def run(batches):
+        for batch in batches:
+            some = _held_by(wanted.value, batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.select(["id", "codes"]).take(pa.array(some))
+
+    return run
+
+
 def _landmark_batches(min_hits: float, excerpts: bool, asked: bool, wanted=None):
     """Rows (key, id) of recordings (id, n, marks), ``marks`` being integers of theirs, by place: a key for every two
     integers that are near enough, and keys of single integers for partners where one is enough: both sides short, or
@@ -330,30 +345,48 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
     return best, int(votes[best + len(b)]), float(np.bitwise_count(x[:m] ^ y[:m]).sum()) / (32.0 * m)
 
 
-def _align_batches(max_ber: float):
-    def run(batches):
-        for batch in batches:
-            q, d, need = (batch.column(c).to_pylist() for c in ("query", "id", "need"))
-            keep, offset, hits, ber = [], [], [], []
-            for i, (a, b) in enumerate(zip(batch.column("query_codes"), batch.column("codes"))):
-                a, b = np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")
+def _align_cell(max_ber: float, min_hits: float, excerpts: bool):
+    """Links of a cell: its held classes (id, codes) against its queries (query, query_codes, ids), each with its candidates."""
+
+    def run(held: pa.Table, asked: pa.Table) -> pa.Table:
+        code = {i: x.as_buffer() for i, x in zip(held.column("id").to_pylist(), held.column("codes"))}
+        out: list[tuple] = []
+        for q, own, ids in zip(asked.column("query").to_pylist(), asked.column("query_codes"), asked.column("ids")):
+            a = np.frombuffer(own.as_buffer(), "<u4")
+            for d in ids.values.to_pylist():
+                b = np.frombuffer(code[d], "<u4")
                 o, h, e = align(a, b)
-                if h >= need[i] and e <= max_ber:
-                    keep.append(i)
-                    offset.append(o)
-                    hits.append(h)
-                    ber.append(e)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([q[i] for i in keep], pa.int64()), pa.array([d[i] for i in keep], pa.int64()),
-                    pa.array(offset, pa.int32()), pa.array(hits, pa.int32()), pa.array(ber, pa.float64()),
-                ],
-                ["query", "id", "offset", "hits", "ber"],
-            )
+                if e <= max_ber and h >= needed(len(a), len(b), min_hits, excerpts):
+                    out.append((q, d, o, h, e))
+        kinds = {"query": pa.int64(), "id": pa.int64(), "offset": pa.int32(), "hits": pa.int32(), "ber": pa.float64()}
+        columns = list(zip(*out)) or [()] * len(kinds)
+        return pa.table({c: pa.array(x, kind) for (c, kind), x in zip(kinds.items(), columns)})
 
     return run
 
 
+def _aligned(pairs: DataFrame, classes: DataFrame, max_ber: float, min_hits: float, excerpts: bool) -> DataFrame:
+    """(query, id, offset, hits, ber) of the pairs (query, id) that are linked.
+
+    Classes are dealt to blocks, and so are those that ask. A query's codes are sent once to each block that holds a
+    candidate of it, and not with each candidate, whose number grows with the square of the input; held codes are sent
+    once for each block of queries that needs them. Most classes are no candidates, and a filter keeps these at their place.
+    """
+    size = F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))
+    whole, own = classes.agg(size, F.coalesce(F.sum(F.when(F.col("asks"), F.octet_length("codes"))), F.lit(0))).first()
+    n_held, n_asked = max(-(-whole // CELL_BYTES), min(-(-whole // LEAST_CELL), 64), 1), -(-own // CELL_BYTES) or 1
+    cell = F.pmod(F.xxhash64("id"), F.lit(n_held)) * n_asked + F.pmod(F.xxhash64("query"), F.lit(n_asked))
+    dealt = pairs.withColumn("cell", cell)
+    codes = classes.filter("asks").select(F.col("id").alias("query"), F.col("codes").alias("query_codes"))
+    asked = dealt.groupBy(F.col("cell").alias("at"), "query").agg(F.collect_list("id").alias("ids")).join(codes, "query")
+    wanted = pairs.sparkSession.sparkContext.broadcast(landmark_filter(pairs.select(F.xxhash64("id").alias("key")).distinct()))
+    candidates = classes.select(F.xxhash64("id").alias("key"), "id", "codes").mapInArrow(_wanted_batches(wanted), "id long, codes binary")
+    held = dealt.select("cell", "id").distinct().join(candidates, "id")
+    return held.groupBy("cell").cogroup(asked.groupBy("at")).applyInArrow(
+        _align_cell(max_ber, min_hits, excerpts), "query long, id long, offset int, hits int, ber double"
+    )
+
+
 def search(prints: DataFrame, is_query, min_hits: float = MIN_HITS, max_ber: float = MAX_BER, excerpts: bool = False) -> DataFrame:
     """One row per recording: (id, class_id, n_codes, codes_crc32, is_query, links).
 
@@ -389,12 +422,8 @@ def search(prints: DataFrame, is_query, min_hits: float = MIN_HITS, max_ber: flo
     pairs = materialize(pairs.filter("query <> id").distinct(), "pairs")
     wanted.destroy()
     discard(queries)
-    need = needed(F.octet_length("codes") / 4, F.octet_length("query_codes") / 4, min_hits, excerpts)
     links = (
-        pairs.join(classes.select("id", "codes"), "id")
-        .join(classes.filter("asks").select(F.col("id").alias("query"), F.col("codes").alias("query_codes")), "query")
-        .withColumn("need", need)
-        .mapInArrow(_align_batches(max_ber), "query long, id long, offset int, hits int, ber double")
+        _aligned(pairs, classes, max_ber, min_hits, excerpts)
         .groupBy(F.col("id").alias("class_id"))
         .agg(F.array_sort(F.collect_list(F.struct(F.col("query").alias("query_class"), "offset", "hits", F.round("ber", 6).alias("ber")))).alias("links"))
     )

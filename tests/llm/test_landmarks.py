@@ -33,7 +33,8 @@ def test_integers_that_queries_hold_elsewhere_make_no_landmarks(spark):
     held = rows(others | near, False, SimpleNamespace(value=bits))
     every = rows(others | near, False)
     assert len({i for _, i in held}) >= 60 and {i for _, i in held} >= near.keys()
-    assert {x for x in every if x[0] in {k for k, _ in asked}} <= set(held)  # none that a query holds is lost
+    theirs = {k for k, _ in asked}
+    assert {x for x in every if x[0] in theirs} <= set(held)  # none that a query holds is lost
     assert sum(i < 1000 for _, i in held) < 0.02 * sum(i < 1000 for _, i in every)
 
     media = [(i, bytearray(np.array(c, "<u4").tobytes())) for i, c in (queries | others | near).items()]
@@ -55,3 +56,20 @@ def test_a_full_filter_lets_all_pass_and_changes_nothing(spark, monkeypatch):
     want = search()
     monkeypatch.setattr(chroma, "landmark_filter", lambda keys: np.full(chroma.PAGE_BITS // 8, 255, np.uint8))
     assert search() == want and any("query_class=" in x for x in want)
+
+
+def test_pairs_are_aligned_in_cells_that_hold_codes_once(spark, monkeypatch):
+    from quarrygraph.llm import chroma
+
+    rng = random.Random(6)
+    base = [[rng.getrandbits(32) for _ in range(60)] for _ in range(3)]
+    code = {i: np.array([x if rng.random() < 0.8 else x ^ 1 for x in base[i % 3][rng.randrange(9) :]], "<u4") for i in range(60)}
+    rows = [(i, i % 4 == 0, bytearray(c.tobytes())) for i, c in code.items()]
+    classes = spark.createDataFrame(rows, "id long, asks boolean, codes binary")
+    pairs = [(q, d) for q in range(0, 60, 4) for d in range(60) if q != d]
+    want = {(q, d): chroma.align(code[q], code[d]) for q, d in pairs}
+    want = {(q, d, o, h) for (q, d), (o, h, e) in want.items() if h >= 12 and e <= chroma.MAX_BER}
+    for cell in (chroma.CELL_BYTES, 1500):
+        monkeypatch.setattr(chroma, "CELL_BYTES", cell)
+        got = chroma._aligned(spark.createDataFrame(pairs, "query long, id long"), classes, chroma.MAX_BER, 0.2, False).collect()
+        assert {(r.query, r.id, r.offset, r.hits) for r in got} == want and len(got) == len(want) > 50
