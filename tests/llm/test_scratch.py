@@ -49,3 +49,26 @@ def test_near_duplicates_delete_the_tables_they_are_done_with(spark, monkeypatch
     left = sorted(tag for path, tag in made.items() if os.path.exists(path))
     assert left == ["edges", "nodes", "signatures"] and {"blocks", "frequencies", "links"} <= set(made.values())
     assert {(r.doc_id, r.class_id) for r in got.collect()} == {(i, i % 40) for i in range(120)}
+
+
+def test_the_near_duplicate_stage_leaves_no_texts_behind(spark, monkeypatch):
+    import os
+
+    import corpus_pipeline
+
+    from quarrygraph.llm import neardup
+
+    made, write = {}, neardup.materialize
+
+    def noted(df, tag):
+        out = write(df, tag)
+        made[out.scratch] = tag
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", noted)
+    texts = [" ".join(f"w{i % 30}x{j}" for j in range(60)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    left = sorted(tag for path, tag in made.items() if os.path.exists(path.removeprefix("file://")))
+    assert left == ["edges", "nodes", "signatures"] and "blocks" in made.values()
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
