@@ -17,6 +17,9 @@ Queries' landmarks set bits of a Bloom filter, so that of the other recordings'
 dropped where they are made. It grows with the queries up to ``MOST_BITS``; beyond, it lets more pass, and the join on the
 landmarks themselves decides as ever. No candidate is capped.
 
+Codes are written once, with the recordings. A class is the smallest id with a digest; the codes of its own row are read
+where they lie, found by a filter of the classes, and copies that it lets through get no link.
+
 Media come as WAV bytes (8 to 32 bit PCM, any number of channels) or as raw unsigned 8-bit samples.
 
 Media too short for an integer are repeated up to ``Audio.fill`` integers where that is set.
@@ -46,6 +49,8 @@ FLOOR = 0.02
 MIN_HITS, MAX_BER, EVIDENCE = 0.2, 0.3, 5
 #: Bits and probes of the filter for each landmark of a query, its largest size (128 MB) and that of a page, in bits.
 KEY_BITS, PROBES, MOST_BITS, PAGE_BITS = 16, 4, 1 << 30, 1 << 19
+#: What a landmark's recording can be in a pair.
+HELD, ASKED = 1, 2
 #: Integers whose landmarks are made at once.
 BLOCK = 200_000
 #: Bytes of codes of a cell of the alignment on either side, and below which the held ones are not dealt further.
@@ -215,40 +220,45 @@ def _placed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), marks], ["id", "n", "marks"])
 
 
-def _probes(keys: np.ndarray, size: int):
-    """The bits of a filter of ``size`` bits, a power of two, that each key sets."""
-    step = mix64(keys) | np.uint64(1)
+def _probes(low: np.ndarray):
+    """The bits of its page that each key sets, by the key's lower half."""
+    low = low.astype(np.uint64)
+    step = mix64(low) | np.uint64(1)
     for i in range(PROBES):
-        yield (keys + np.uint64(i) * step) & np.uint64(size - 1)
+        yield (low + np.uint64(i) * step) & np.uint64(PAGE_BITS - 1)
 
 
 def _held_by(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places of the keys that the filter holds."""
-    at, step = np.arange(len(keys)), mix64(keys) | np.uint64(1)
+    at, low = np.arange(len(keys)), keys & np.uint64(0xFFFFFFFF)
+    page = (keys >> np.uint64(32)) % np.uint64(8 * len(bits) // PAGE_BITS) * np.uint64(PAGE_BITS)
+    step = mix64(low) | np.uint64(1)
     for i in range(PROBES):
-        bit = (keys[at] + np.uint64(i) * step[at]) & np.uint64(8 * len(bits) - 1)
+        bit = page[at] + ((low[at] + np.uint64(i) * step[at]) & np.uint64(PAGE_BITS - 1))
         at = at[(bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
     return at
 
 
 def _page_batches(size: int):
-    """Rows (page, bits) of rows of keys: the bits they set in a page of the filter."""
+    """Rows (page, lows) of rows of keys: the lower halves of the keys of a page, a quarter of what the bits would take."""
 
     def run(batches):
         for batch in batches:
             keys = np.unique(batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64))
-            bits = np.unique(np.concatenate([np.zeros(0, np.uint64), *_probes(keys, size)]))
-            page, first = np.unique(bits // np.uint64(PAGE_BITS), return_index=True)
-            parts = np.split((bits % np.uint64(PAGE_BITS)).astype("<u4"), first[1:]) if len(page) else []
-            yield pa.RecordBatch.from_arrays([pa.array(page.astype(np.int64)), pa.array([x.tobytes() for x in parts], pa.binary())], ["page", "bits"])
+            pages = (keys >> np.uint64(32)) % np.uint64(size // PAGE_BITS)
+            order = np.argsort(pages, kind="stable")
+            page, first = np.unique(pages[order], return_index=True)
+            parts = np.split(keys[order].astype("<u4"), first[1:]) if len(page) else []
+            yield pa.RecordBatch.from_arrays([pa.array(page.astype(np.int64)), pa.array([x.tobytes() for x in parts], pa.binary())], ["page", "lows"])
 
     return run
 
 
 def _join_page(page: pa.Table) -> pa.Table:
     whole = np.zeros(PAGE_BITS, np.uint8)
-    for x in page.column("bits"):
-        whole[np.frombuffer(x.as_py(), "<u4")] = 1
+    for x in page.column("lows"):
+        for bits in _probes(np.frombuffer(x.as_py(), "<u4")):
+            whole[bits.astype(np.int64)] = 1
     return pa.table({"page": page.column("page").slice(0, 1), "bits": pa.array([np.packbits(whole, bitorder="little").tobytes()], pa.binary())})
 
 
@@ -257,7 +267,7 @@ def landmark_filter(keys: DataFrame) -> np.ndarray:
     wish, size = KEY_BITS * keys.count(), PAGE_BITS
     while size < min(wish, MOST_BITS):
         size *= 2
-    parts = keys.select("key").mapInArrow(_page_batches(size), "page long, bits binary")
+    parts = keys.select("key").mapInArrow(_page_batches(size), "page long, lows binary")
     pages = materialize(parts.groupBy("page").applyInArrow(_join_page, "page long, bits binary"), "pages")
     out = np.zeros(size // 8, np.uint8)
     for row in pages.toLocalIterator():
@@ -267,42 +277,44 @@ def landmark_filter(keys: DataFrame) -> np.ndarray:
 
 
 def _wanted_batches(wanted):
-    """Rows (id, codes) of rows (key, id, codes), those whose key the filter holds."""
+    """Rows without their ``key``, those whose key the filter holds."""
 
     def run(batches):
         for batch in batches:
             some = _held_by(wanted.value, batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64))
-            yield batch.select(["id", "codes"]).take(pa.array(some))
+            yield batch.select([c for c in batch.schema.names if c != "key"]).take(pa.array(some))
 
     return run
 
 
-def _landmark_batches(min_hits: float, excerpts: bool, asked: bool, wanted=None):
-    """Rows (key, id) of recordings (id, n, marks), ``marks`` being integers of theirs, by place: a key for every two
+def _landmark_batches(min_hits: float, excerpts: bool, asked: bool, wanted=None, both: bool = False):
+    """Rows (key, id, role) of recordings (id, n, marks), ``marks`` being integers of theirs, by place: a key for every two
     integers that are near enough, and keys of single integers for partners where one is enough: both sides short, or
-    one of them of a single position. With ``wanted``, a filter sent to the executors, only the keys that it holds."""
+    one of them of a single position. With ``wanted``, a filter sent to the executors, only the keys that it holds.
+    The recordings are queries or, without ``asked``, held; or ``both``, and then a key of both is one row."""
     reach: dict[int, int] = {}
 
     def keys_of(owner: np.ndarray, n: np.ndarray, far: np.ndarray, pos: np.ndarray, marks: np.ndarray):
-        """Keys, and the places of the (first) integers they are of."""
+        """Keys, the places of the (first) integers they are of, and their roles."""
+        role = HELD | ASKED if both else ASKED if asked else HELD
         for step in range(1, len(marks)):
             gap = pos[step:] - pos[:-step]
             near = np.flatnonzero((owner[step:] == owner[:-step]) & (gap <= far[step:]))
             if not len(near):
                 break
-            yield mix64(mix64(marks[near] << np.uint64(32) | marks[near + step]) + gap[near].astype(np.uint64)), near
-        kinds = {1: np.ceil(n * min_hits) <= 1}
+            yield mix64(mix64(marks[near] << np.uint64(32) | marks[near + step]) + gap[near].astype(np.uint64)), near, np.full(len(near), role, np.int8)
+        kinds = {1: np.where(np.ceil(n * min_hits) <= 1, role, 0)}
         if excerpts:  # 2: the held one has a single position; 3: the query has
-            kinds |= {2: (n == 1) | asked, 3: (n == 1) | (not asked)}
-        for kind, some in kinds.items():
-            at = np.flatnonzero(some)
-            yield mix64(marks[at] | np.uint64(kind << 40)), at
+            kinds |= {2: np.where(n == 1, role, role & ASKED), 3: np.where(n == 1, role, role & HELD)}
+        for kind, roles in kinds.items():
+            at = np.flatnonzero(roles)
+            yield mix64(marks[at] | np.uint64(kind << 40)), at, roles[at].astype(np.int8)
 
     def run(batches):
         for batch in batches:
             n, both = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("marks")
             ends = both.offsets.to_numpy().astype(np.int64)
-            ids, parts, owners = batch.column("id").to_numpy(zero_copy_only=False), [], []
+            ids, parts, owners, kinds = batch.column("id").to_numpy(zero_copy_only=False), [], [], []
             for x in set(n.tolist()) - reach.keys():
                 reach[x] = farthest(x, min_hits, excerpts) if x else 0
             far = np.array([reach[x] for x in n.tolist()], np.int64)
@@ -311,19 +323,21 @@ def _landmark_batches(min_hits: float, excerpts: bool, asked: bool, wanted=None)
                 flat = both.values.slice(ends[i], ends[j] - ends[i])
                 pos = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 marks = flat.field(1).to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32).astype(np.uint64)
-                found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-                for keys, at in keys_of(own, n[own], far[own], pos, marks):
+                found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8))]
+                for keys, at, roles in keys_of(own, n[own], far[own], pos, marks):
                     some = slice(None) if wanted is None else _held_by(wanted.value, keys)
-                    found.append((keys[some], own[at[some]]))
-                keys, owner = (np.concatenate(x) for x in zip(*found))
+                    found.append((keys[some], own[at[some]], roles[some]))
+                keys, owner, roles = (np.concatenate(x) for x in zip(*found))
                 order = np.lexsort((keys, owner))
-                keys, owner = keys[order], owner[order]
+                keys, owner, roles = keys[order], owner[order], roles[order]
                 new = np.ones(len(keys), bool)
                 new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
                 parts.append(keys[new].view(np.int64))
                 owners.append(ids[owner[new]])
+                kinds.append(roles[new])
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(owners).astype(np.int64))], ["key", "id"])
+                made = [np.concatenate(parts), np.concatenate(owners).astype(np.int64), np.concatenate(kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["key", "id", "role"])
 
     return run
 
@@ -353,7 +367,7 @@ def _align_cell(max_ber: float, min_hits: float, excerpts: bool):
         out: list[tuple] = []
         for q, own, ids in zip(asked.column("query").to_pylist(), asked.column("query_codes"), asked.column("ids")):
             a = np.frombuffer(own.as_buffer(), "<u4")
-            for d in ids.values.to_pylist():
+            for d in filter(code.__contains__, ids.values.to_pylist()):
                 b = np.frombuffer(code[d], "<u4")
                 o, h, e = align(a, b)
                 if e <= max_ber and h >= needed(len(a), len(b), min_hits, excerpts):
@@ -365,23 +379,31 @@ def _align_cell(max_ber: float, min_hits: float, excerpts: bool):
     return run
 
 
-def _aligned(pairs: DataFrame, classes: DataFrame, max_ber: float, min_hits: float, excerpts: bool) -> DataFrame:
-    """(query, id, offset, hits, ber) of the pairs (query, id) that are linked.
+def _aligned(
+    pairs: DataFrame, classes: DataFrame, max_ber: float, min_hits: float, excerpts: bool,
+    asking: DataFrame | None = None, own: DataFrame | None = None,
+) -> DataFrame:
+    """(query, id, offset, hits, ber) of the pairs (query, id) that are linked, ``classes`` being (id, asks, codes); or all
+    recordings (id, digest, codes), with the classes that ask, ``asking`` (id, codes), and all classes, ``own`` (id, digest).
 
     Classes are dealt to blocks, and so are those that ask. A query's codes are sent once to each block that holds a
     candidate of it, and not with each candidate, whose number grows with the square of the input; held codes are sent
     once for each block of queries that needs them. Most classes are no candidates, and a filter keeps these at their place.
     """
-    size = F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))
-    whole, own = classes.agg(size, F.coalesce(F.sum(F.when(F.col("asks"), F.octet_length("codes"))), F.lit(0))).first()
-    n_held, n_asked = max(-(-whole // CELL_BYTES), min(-(-whole // LEAST_CELL), 64), 1), -(-own // CELL_BYTES) or 1
+    asking = classes.filter("asks") if asking is None else asking
+    whole, some = (x.agg(F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))).first()[0] for x in (classes, asking))
+    n_held, n_asked = max(-(-whole // CELL_BYTES), min(-(-whole // LEAST_CELL), 64), 1), -(-some // CELL_BYTES) or 1
     cell = F.pmod(F.xxhash64("id"), F.lit(n_held)) * n_asked + F.pmod(F.xxhash64("query"), F.lit(n_asked))
     dealt = pairs.withColumn("cell", cell)
-    codes = classes.filter("asks").select(F.col("id").alias("query"), F.col("codes").alias("query_codes"))
+    codes = asking.select(F.col("id").alias("query"), F.col("codes").alias("query_codes"))
     asked = dealt.groupBy(F.col("cell").alias("at"), "query").agg(F.collect_list("id").alias("ids")).join(codes, "query")
     wanted = pairs.sparkSession.sparkContext.broadcast(landmark_filter(pairs.select(F.xxhash64("id").alias("key")).distinct()))
-    candidates = classes.select(F.xxhash64("id").alias("key"), "id", "codes").mapInArrow(_wanted_batches(wanted), "id long, codes binary")
-    held = dealt.select("cell", "id").distinct().join(candidates, "id")
+    names, kinds = ["id", "codes"], "id long, codes binary"
+    held = dealt.select("cell", "id").distinct()
+    if own is not None:
+        names, kinds, held = ["id", "digest", "codes"], "id long, digest binary, codes binary", held.join(own, "id")
+    candidates = classes.select(F.xxhash64("id").alias("key"), *names).mapInArrow(_wanted_batches(wanted), kinds)
+    held = held.join(candidates, names[:-1]).select("cell", "id", "codes")
     return held.groupBy("cell").cogroup(asked.groupBy("at")).applyInArrow(
         _align_cell(max_ber, min_hits, excerpts), "query long, id long, offset int, hits int, ber double"
     )
@@ -396,39 +418,50 @@ def search(prints: DataFrame, is_query, min_hits: float = MIN_HITS, max_ber: flo
     length = (F.octet_length("codes") / 4).cast("int")
     prints = prints.withColumn("digest", F.unhex(F.md5("codes"))).withColumn("is_query", is_query)
     prints = materialize(prints.withColumn("n_codes", length).withColumn("codes_crc32", F.crc32("codes")), "fingerprints")
-    full = F.octet_length("codes") > 0
-    classes = (
-        prints.filter(full)
-        .groupBy("digest")
-        .agg(F.min("id").alias("id"), F.bool_or("is_query").alias("asks"), F.first("codes").alias("codes"))
-    )
+    full = prints.filter((F.octet_length("codes") > 0) & F.col("id").isNotNull())
+    classes = prints.filter(F.octet_length("codes") > 0).groupBy("digest").agg(F.min("id").alias("id"), F.bool_or("is_query").alias("asks"))
     classes = materialize(classes.filter("id is not null"), "print-classes")
-
-    def keys(rows, is_asked, wanted=None):
-        marked = _landmark_batches(min_hits, excerpts, is_asked, wanted)
-        return rows.select("id", "codes").mapInArrow(lambda batches: marked(_placed(batches)), "key long, id long")
-
-    queries = materialize(keys(classes.filter("asks"), True), "asked")
-    wanted = prints.sparkSession.sparkContext.broadcast(landmark_filter(queries))
-    mine = keys(classes, False, wanted)
+    send = prints.sparkSession.sparkContext.broadcast
+    own_row = F.xxhash64("digest", "id").alias("key")
+
+    def rows_of(some):
+        """The filter of these classes' own rows."""
+        return send(landmark_filter(some.select(own_row)))
+
+    asks = rows_of(classes.filter("asks"))
+    asking = full.select(own_row, "digest", "id", "codes").mapInArrow(_wanted_batches(asks), "digest binary, id long, codes binary")
+    asking = asking.dropDuplicates(["digest", "id"]).join(classes.filter("asks").select("digest", "id"), ["digest", "id"])
+    asking = materialize(asking.select("id", "codes").repartition(prints.sparkSession.sparkContext.defaultParallelism, "id"), "asking")
+    kinds = "key long, id long, role byte"
+    both = _landmark_batches(min_hits, excerpts, True, both=True)
+    queries = materialize(asking.mapInArrow(lambda batches: both(_placed(batches)), kinds), "asked")
+    wanted = send(landmark_filter(queries.filter(F.col("role").bitwiseAND(ASKED) > 0)))
+    others = rows_of(classes.filter("not asks"))
+    own_rows, marked = _wanted_batches(others), _landmark_batches(min_hits, excerpts, False, wanted)
+    mine = full.select(own_row, "id", "codes").mapInArrow(lambda batches: marked(_placed(own_rows(batches))), kinds)
+    # all that queries ask is in the filter; of what they only hold, little is
+    theirs = queries.withColumn("mark", F.col("key")).mapInArrow(_wanted_batches(wanted), "id long, role byte, mark long")
+    lists = [F.collect_list(F.when(F.col("role") == x, F.col("id"))).alias(f"l{x}") for x in (HELD, ASKED, HELD | ASKED)]
+    ids, asked = (F.array_sort(F.concat(f"l{HELD | ASKED}", f"l{x}")) for x in (HELD, ASKED))
     # near copies share most of their landmarks: equal lists of holders are paired once
     holders = (
-        mine.withColumn("query", F.lit(None).cast("long")).union(queries.select("key", F.lit(None).cast("long"), F.col("id")))
-        .groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.array_sort(F.collect_list("query")).alias("queries"))
+        mine.union(theirs.select("mark", "id", "role"))
+        .groupBy("key").agg(*lists).select(ids.alias("ids"), asked.alias("queries"))
         .filter((F.size("queries") > 0) & (F.size("ids") > F.when(F.array_contains("ids", F.get("queries", F.lit(0))) & (F.size("queries") == 1), 1).otherwise(0)))
         .select("ids", "queries").distinct()
     )
     pairs = holders.select("ids", F.explode("queries").alias("query")).select("query", F.explode("ids").alias("id"))
     pairs = materialize(pairs.filter("query <> id").distinct(), "pairs")
-    wanted.destroy()
+    for x in (asks, wanted, others):
+        x.destroy()
     discard(queries)
     links = (
-        _aligned(pairs, classes, max_ber, min_hits, excerpts)
+        _aligned(pairs, full, max_ber, min_hits, excerpts, asking, classes.select("id", "digest"))
         .groupBy(F.col("id").alias("class_id"))
         .agg(F.array_sort(F.collect_list(F.struct(F.col("query").alias("query_class"), "offset", "hits", F.round("ber", 6).alias("ber")))).alias("links"))
     )
     links = materialize(links, "links")
-    discard(pairs)
+    discard(pairs, asking)
     ids = classes.select(F.col("digest"), F.col("id").alias("class_id"))
     out = prints.drop("codes").join(ids, "digest", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     mine = F.col("id").eqNullSafe(F.col("class_id"))  # other rows have no links: dealt by their id, not together by a null key

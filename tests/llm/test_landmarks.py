@@ -73,3 +73,65 @@ def test_pairs_are_aligned_in_cells_that_hold_codes_once(spark, monkeypatch):
         monkeypatch.setattr(chroma, "CELL_BYTES", cell)
         got = chroma._aligned(spark.createDataFrame(pairs, "query long, id long"), classes, chroma.MAX_BER, 0.2, False).collect()
         assert {(r.query, r.id, r.offset, r.hits) for r in got} == want and len(got) == len(want) > 50
+
+
+def test_codes_are_written_once_and_landmarks_of_queries_sent_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quarrygraph.llm import chroma
+
+    rng = random.Random(7)
+    some = lambda n: [rng.getrandbits(32) for _ in range(n)]
+    rows = [(i, some(60)) for i in range(1, 41)]
+    rows += [(100 + i, codes) for i, codes in rows[:20]]  # copies
+    a, b = some(60), some(60)
+    rows += [(3000, b), (5000, a), (5000, b), (5000, a), (None, a), (None, some(60)), (None, []), (6000, [])]
+    near = lambda codes: codes[:40] + some(20)
+    rows += [(50, near(a)), (150, near(b)), (200, near(rows[0][1])), (250, near(rows[0][1])), (1000, rows[30][1][:1]), (1050, rows[30][1][:1] + some(2)), (1100, near(rows[0][1]))]
+    frame = spark.createDataFrame([(i, bytearray(np.array(c, "<u4").tobytes())) for i, c in rows], "id long, codes binary")
+    size, made, write = 4 * sum(len(c) for _, c in rows), {}, chroma.materialize
+
+    def noted(df, tag):
+        out = made[tag] = write(df, tag)
+        out.code_bytes = out.agg(F.sum(F.octet_length("codes"))).first()[0] if "codes" in out.columns else 0
+        out.n_rows = out.count()
+        return out
+
+    def search():
+        found = chroma.search(frame, F.coalesce(F.col("id") % 50 == 0, F.lit(False)), excerpts=True).collect()
+        return sorted(((r.id, r.class_id, [(x.query_class, x.offset, x.hits) for x in r.links]) for r in found), key=str)
+
+    monkeypatch.setattr(chroma, "materialize", noted)
+    got = search()
+    assert sum(x.code_bytes for x in made.values()) < 1.3 * size  # the queries' are a fifth
+    asked = made["asking"].code_bytes // 4
+    assert made["asked"].n_rows < 9 * asked  # six neighbours, two kinds of single integers
+    links = {(i, c): {q for q, _, _ in x} for i, c, x in got if x}
+    codes_of = {}
+    for i, c in rows:
+        codes_of.setdefault(tuple(c), []).append(i)
+    own = {min(x for x in ids if x is not None): np.array(c, "<u4") for c, ids in codes_of.items() if c and any(x is not None for x in ids)}
+    asks = {min(x for x in ids if x is not None) for c, ids in codes_of.items() if c and any(x is not None and x % 50 == 0 for x in ids)}
+    want = {}
+    for q in asks:
+        for d in own.keys() - {q}:
+            _, h, e = chroma.align(own[q], own[d])
+            if e <= chroma.MAX_BER and h >= chroma.needed(len(own[q]), len(own[d]), chroma.MIN_HITS, True):
+                want.setdefault((d, d), set()).add(q)
+    assert links == want and len(want) > 6
+    monkeypatch.setattr(chroma, "landmark_filter", lambda keys: np.full(chroma.PAGE_BITS // 8, 255, np.uint8))
+    assert search() == got  # copies that a filter lets through get no link
+
+
+def test_a_filter_is_put_together_from_half_keys(spark):
+    from quarrygraph.llm import chroma
+
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(1 << 63), 1 << 63, 100_000, np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])
+    (out,) = chroma._page_batches(1 << 21)(iter([batch]))
+    assert sum(len(x) for x in out.column(1).to_pylist()) <= 4 * len(keys)
+    bits = chroma.landmark_filter(spark.createDataFrame([(int(x),) for x in keys], "key long"))
+    assert len(bits) * 8 == 1 << 21 and len(chroma._held_by(bits, keys.view(np.uint64))) == len(keys)
+    others = rng.integers(0, 1 << 63, 200_000, np.int64).view(np.uint64)
+    assert len(chroma._held_by(bits, others)) < 0.005 * len(others)
