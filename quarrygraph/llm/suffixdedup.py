@@ -32,11 +32,12 @@ judged as one and answered twice; different texts under one ``doc_id`` are order
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import RangeHash, by_value, materialize, mix64, row_blocks, text_buffer, text_or_empty
@@ -47,8 +48,12 @@ GRAM = 20
 CELLS = ((0, 20, 40, 60), tuple(range(0, 80, 5)), tuple(range(LENGTH - GRAM + 1)))
 #: Contents of one minimizer in a chunk beyond which it is frequent.
 CHUNK_CONTENTS = 64
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
 CHUNK_RECORDS = 600_000
+#: Bytes of an Arrow batch between the JVM and Python, rows permitting.
+BATCH_BYTES = 4 << 20
+#: Texts that are Python objects at a time while they are cut.
+CUT_ROWS = 500
 BUCKET_BYTES = 24 << 20
 BLOCK_STRINGS = 512
 BLOCK_BYTES = 64 << 10
@@ -226,7 +231,8 @@ def record_kernel():
             own = gram[inside]
             side[inside] = np.maximum(mix64(content.ranges(sums, own - a, own + LENGTH - b)).astype(np.uint32), 1)
             sides.append(side)
-        return row, first - offsets[row], last - first + 1, hashes[gram], whole, gram - first, *sides
+        start, run = (first - offsets[row]).astype(np.int32), (last - first + 1).astype(np.int32)
+        return row, start, run, hashes[gram], whole, (gram - first).astype(np.uint8), *sides
 
     return records
 
@@ -270,43 +276,55 @@ _KINDS = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.i
 
 
 def _pack_batches(n_buckets: int):
+    def home(x):
+        return (mix64(x ^ np.uint64(0xB0C)) % np.uint64(n_buckets)).astype(np.int32)
+
     def settle(parts):
-        doc, start, run, key, whole, gram, *sides = (np.concatenate(x) for x in zip(*parts))
+        """Takes what is in ``parts``, column by column, so that no record is held twice."""
+        columns = [list(x) for x in zip(*parts)]
+        parts.clear()
+        doc, start, run, key, whole, gram, *sides = [np.concatenate(columns.pop(0)) for _ in range(len(columns))]
         order = np.lexsort((start, doc, whole, key))
         k, w = key[order], whole[order]
         copy = np.zeros(len(order), bool)
         copy[1:] = (k[1:] == k[:-1]) & (w[1:] == w[:-1])
         gone, kept = order[copy], order[~copy]
-        d, a, b = _merged(doc[gone], start[gone], start[gone] + run[gone] + LENGTH - 1)
+        k, w = k[~copy], w[~copy]
+        d, a, b = _merged(doc[gone], start[gone], start[gone] + run[gone] + (LENGTH - 1))
         if len(d):
             to = (mix64(d.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(to), pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.nulls(len(d), pa.binary())],
                 schema=_PACKED,
             )
-        names, where, times = np.unique(key[kept], return_inverse=True, return_counts=True)
-        hot = times[where] > CHUNK_CONTENTS
-        home = lambda x: (mix64(x ^ np.uint64(0xB0C)) % np.uint64(n_buckets)).astype(np.int64)
-        bucket = np.where(hot, home(key[kept] ^ mix64(whole[kept])), home(key[kept]))
-        rows = [x[kept] for x in (doc, key, whole, *sides, start, run)] + [gram[kept] | np.where(hot, _HOT, 0)]
-        frequent = names[times > CHUNK_CONTENTS]  # a marker is a record without a run
-        rows = [np.concatenate((x, frequent if i == 1 else np.zeros(len(frequent), x.dtype))) for i, x in enumerate(rows)]
-        bucket = np.concatenate((bucket, home(frequent)))
-        order = np.lexsort((rows[-3], rows[0], bucket))
-        bucket, (doc_, *fields) = bucket[order], [x[order] for x in rows]
+        at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        times = np.diff(np.append(at, len(k)))
+        frequent = k[at[times > CHUNK_CONTENTS]]  # a marker is a record without a run
+        hot = np.repeat(times > CHUNK_CONTENTS, times)
+        gram[kept[hot]] |= np.uint8(_HOT)
+        bucket = np.concatenate((np.where(hot, home(k ^ mix64(w)), home(k)), home(frequent)))
+        fields = [doc, key, whole, *sides, start, run, gram]
+        del doc, start, run, key, whole, gram, sides, order, copy, gone, k, w, hot, d, a, b
+        for i, x in enumerate(fields):
+            fields[i] = np.concatenate((x[kept], frequent if i == 1 else np.zeros(len(frequent), x.dtype)))
+        order = np.lexsort((fields[-3], fields[0], bucket))
+        bucket = bucket[order]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
-        blobs = []
-        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]) if len(bucket) else ():
-            ids, times = np.unique(doc_[i:j], return_counts=True)
+        names, blobs, size = [], [], 0
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
+            doc, *own = (x[order[i:j]] for x in fields)
+            ids, times = np.unique(doc, return_counts=True)
             head = np.array([j - i, len(ids)], np.int64)
-            blobs.append(b"".join([head.tobytes(), ids.tobytes(), times.astype(np.int32).tobytes(), *(x[i:j].astype(kind).tobytes() for x, kind in zip(fields, _KINDS))]))
-        names = bucket[np.concatenate(([0], cuts))].astype(np.int32) if len(bucket) else np.zeros(0, np.int32)
-        for i in range(0, len(names), 512):
-            n = len(names[i : i + 512])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[i : i + 512]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(blobs[i : i + 512], pa.binary())],
-                schema=_PACKED,
-            )
+            blobs.append(b"".join([head.tobytes(), ids.tobytes(), times.astype(np.int32).tobytes(), *(x.astype(kind, copy=False).tobytes() for x, kind in zip(own, _KINDS))]))
+            names.append(bucket[i])
+            size += len(blobs[-1])
+            if size >= BATCH_BYTES or j == len(bucket):
+                n = len(names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(blobs, pa.binary())],
+                    schema=_PACKED,
+                )
+                names, blobs, size = [], [], 0
 
     def run(batches):
         kernel = record_kernel()
@@ -318,11 +336,12 @@ def _pack_batches(n_buckets: int):
                 if found is None:
                     continue
                 row, start, *rest = found
-                parts.append((doc[rows[row]], (start + shift).astype(np.int32), *rest))
+                parts.append((doc[rows[row]], start + np.int32(shift), *rest))
                 size += len(row)
                 if size >= CHUNK_RECORDS:
+                    del found, row, start, rest
                     yield from settle(parts)
-                    parts, size = [], 0
+                    size = 0
         if parts:
             yield from settle(parts)
 
@@ -514,6 +533,23 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
     return materialize(placed.select("doc_id", F.monotonically_increasing_id().alias("doc"), "text"), "ordered"), True
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Arrow batches of about ``BATCH_BYTES`` for what runs inside, unless the session sets their size: 10,000 rows of long
+    texts would be far more."""
+    if spark.conf.get(_BATCH_BYTES, None) is not None:
+        yield
+        return
+    spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_BYTES)
+
+
 def later_intervals(rows: DataFrame) -> DataFrame:
     """(doc, start, end): bytes covered by windows that also start earlier, as intervals that may overlap."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -541,7 +577,7 @@ def later_intervals(rows: DataFrame) -> DataFrame:
 
 def _cut_batches(keep_bytes: bool):
     def run(batches):
-        for batch in batches:
+        for batch in (x.slice(i, CUT_ROWS) for x in batches for i in range(0, x.num_rows, CUT_ROWS)):
             n_bytes, n_removed, n_spans, kept = [], [], [], []
             spans = batch.column("spans").to_pylist()
             for text, own in zip(batch.column("text").to_pylist(), spans):
@@ -582,7 +618,9 @@ def _cut_batches(keep_bytes: bool):
 def dedup_substrings(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` is the remaining bytes, or their SHA-256 in hex."""
     rows, changed = _keyed(docs)
-    spans = later_intervals(rows).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    with _small_batches(docs.sparkSession):
+        found = later_intervals(rows)
+    spans = found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     kind = "binary" if keep_bytes else "string"
     out = (
         rows.join(spans, "doc", "left")

@@ -573,3 +573,54 @@ def test_substrings_take_repeated_and_null_ids(spark):
     got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in dedup_substrings(frame(spark, [(top, a), (top, "y" + a), (low, a + "z")])).collect())
     assert got == [(low, 301, 0), (top, 300, 300), (top, 301, 300)]
     assert dedup_substrings(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_packing_of_substring_records_takes_little_memory():
+    """Records of 12 MB of text: hashes of one segment at a time, and no second copy of the records."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quarrygraph.llm import suffixdedup as sd
+
+    rng = random.Random(7)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array([rng.randbytes(2000).hex() for _ in range(3000)])], ["doc", "text"])
+    packed = 0
+    tracemalloc.start()
+    try:
+        for out in sd._pack_batches(64)(iter([batch])):
+            packed += sum(sd._unpack(x)[0].size for x in out.column("blob").to_pylist() if x is not None)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert packed > 200_000
+    assert peak < 100e6
+
+
+def test_substrings_are_read_in_small_batches(spark, monkeypatch):
+    from quarrygraph.llm import suffixdedup as sd
+
+    pack = sd._pack_batches
+
+    def strict(n_buckets):
+        run = pack(n_buckets)
+
+        def checked(batches):
+            def small():
+                for batch in batches:
+                    assert batch.nbytes < 8_000_000
+                    yield batch
+
+            yield from run(small())
+
+        return checked
+
+    monkeypatch.setattr(sd, "_pack_batches", strict)
+    rng = random.Random(9)
+    rows = [(i, rng.randbytes(5000).hex()) for i in range(1500)]
+    rows += [(2000 + i, "z" + rows[i][1]) for i in range(0, 1500, 50)]
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting, None)
+    got = sd.dedup_substrings(frame(spark, rows).repartition(1), keep_bytes=False).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in got} == {i: (len(x), *((10_000, 1) if i >= 2000 else (0, 0))) for i, x in rows}
+    assert spark.conf.get(setting, None) == before
