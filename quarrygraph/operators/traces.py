@@ -6,6 +6,9 @@ written as sums and ordered slices that need no row-by-row state: see ``merge``.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,7 +82,7 @@ def resolve(entries: DataFrame, graph: Graph) -> DataFrame:
     return out.join(calls, on, "left").drop("source_id", "target_id")
 
 
-def merge(entries: DataFrame, stored: DataFrame | None = None, seq: str = "seq", project: str = "") -> DataFrame:
+def merge(entries: DataFrame, stored: DataFrame | None = None, seq: str = "seq", project: str = "", zero: bool = False) -> DataFrame:
     """Observations after entries in order of ``seq``, on top of stored ones.
 
     count adds up; error_count adds the counts of status 400 and above. The running average is
@@ -87,6 +90,11 @@ def merge(entries: DataFrame, stored: DataFrame | None = None, seq: str = "seq",
     call without duration by the factor n(i) / n(i-1), so it is the sum of ms * c, each times the product of the later
     factors: a product over a window, as a sum of logarithms. Samples are the last 100 of rounded durations, each
     repeated by its count; p99 is read from them. Ids keep their last known value, last_seen and attributes their last.
+    ``zero`` takes a duration of zero (null too) as measured; the reference takes it as absent.
+
+    Nothing but the average of a key with calls without duration needs all its entries in order, and only that brings
+    them into one task: the sums are added up where the entries are, and no task passes on more than the last 100 of a key.
+    The frames of windows run from the latest entry back: one from a row to the end of its key is added up anew by each row.
     """
     e = entries.withColumn("project", F.lit(project))
     if "caller_node_id" not in e.columns:
@@ -102,33 +110,43 @@ def merge(entries: DataFrame, stored: DataFrame | None = None, seq: str = "seq",
             *key, F.lit(None).cast(e.schema[seq].dataType).alias("__seq"), F.col("count").alias("__c"), F.col("avg_duration_ms").alias("__ms"), F.col("error_count").alias("__err"),
             F.col("last_seen").alias("__seen"), F.col("attributes").alias("__attr"), "caller_node_id", "callee_node_id", "calls_edge_id", F.col("duration_samples").alias("__held"),
         ))
-    order = W.partitionBy(*key).orderBy(F.asc_nulls_first("__seq"))
-    run = F.sum("__c").over(order.rowsBetween(W.unboundedPreceding, 0))
-    base = base.withColumn("__n", run)
-    grow = F.when((F.col("__ms") > 0) | F.col("__held").isNotNull() | (F.col("__n") == F.col("__c")), F.lit(0.0)).otherwise(F.log(F.col("__n") / (F.col("__n") - F.col("__c"))))
-    later = F.coalesce(F.sum(grow).over(order.rowsBetween(1, W.unboundedFollowing)), F.lit(0.0))
-    base = base.withColumn("__part", F.when(F.col("__ms") > 0, F.col("__ms") * F.col("__c") * F.exp(later)).otherwise(0.0))
-    # what cannot be among the last SAMPLES is not gathered
-    has = (F.col("__ms") > 0) | F.col("__held").isNotNull()
-    own_size = F.when(has, F.coalesce(F.size("__held").cast("long"), F.col("__c"))).otherwise(0)
-    ahead = F.coalesce(F.sum(own_size).over(order.rowsBetween(1, W.unboundedFollowing)), F.lit(0).cast("long"))
-    repeated = F.array_repeat(F.floor(F.col("__ms") + 0.5).cast("long"), F.least(F.col("__c"), F.lit(SAMPLES).cast("long")).cast("int"))
-    own = F.when(has & (F.col("__ahead") < SAMPLES), F.coalesce("__held", repeated)).otherwise(F.array().cast("array<long>"))
-    base = base.withColumn("__ahead", ahead).withColumn("__own", own)
+    measured = F.col("__ms") >= 0 if zero else F.col("__ms") > 0
+    base = base.withColumn("__has", measured | F.col("__held").isNotNull())
     by_seq = F.struct(F.col("__seq").isNotNull(), F.col("__seq"))
-    lists = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("__own") > 0, F.struct(F.col("__seq").isNotNull().alias("s"), F.col("__seq").alias("q"), F.col("__own").alias("v"))))), lambda x: x["v"]))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), by_seq)).alias(c)
-    out = base.groupBy(*key).agg(
+    part = F.when(F.col("__ms") > 0, F.col("__ms") * F.col("__c")).otherwise(0.0)
+    sums = base.groupBy(*key).agg(
         last("caller_node_id"), last("callee_node_id"), last("calls_edge_id"),
-        F.sum("__c").alias("count"), F.sum("__err").alias("error_count"), (F.sum("__part") / F.sum("__c")).alias("avg_duration_ms"),
-        F.max_by("__seen", by_seq).alias("last_seen"), lists.alias("__s"), F.max_by("__attr", by_seq).alias("attributes"),
+        F.sum("__c").alias("count"), F.sum("__err").alias("error_count"), (F.sum(part) / F.sum("__c")).alias("__plain"),
+        F.max_by("__seen", by_seq).alias("last_seen"), F.max_by("__attr", by_seq).alias("attributes"),
     )
-    samples = F.slice("__s", F.greatest(F.lit(1), F.size("__s") - (SAMPLES - 1)), F.lit(SAMPLES))
+    own = W.partitionBy(*key)
+    latest = own.orderBy(F.desc_nulls_last("__seq"), F.col("__held").isNotNull(), "__ms", "__c")
+    # an entry has a sample at least, so the last SAMPLES entries have all that count
+    ends = base.filter("__has and (__c > 0 or __held is not null)").select(*key, "__seq", "__held", "__ms", "__c").withColumn("__k", F.row_number().over(latest)).filter(F.col("__k") <= SAMPLES)
+    repeated = lambda x: F.array_repeat(F.floor(x["__ms"] + 0.5).cast("long"), F.least(x["__c"], F.lit(SAMPLES).cast("long")).cast("int"))
+    ends = ends.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col("__k")).alias("k"), "__held", "__ms", "__c"))).alias("__e"))
+    ends = ends.select(*key, F.flatten(F.transform("__e", lambda x: F.coalesce(x["__held"], repeated(x)))).alias("__s"))
+    samples = F.coalesce(F.slice("__s", F.greatest(F.lit(1), F.size("__s") - (SAMPLES - 1)), F.lit(SAMPLES)), F.array().cast("array<long>"))
+    later = latest.rowsBetween(W.unboundedPreceding, -1)
+    run = _beside(base.select(*key, "__seq", "__held", "__ms", "__c", "__has"), base.filter("not __has").select(*key).distinct(), key, "left_semi")
+    run = run.withColumn("__n", F.sum("__c").over(own) - F.coalesce(F.sum("__c").over(later), F.lit(0).cast("long")))
+    grow = F.when(F.col("__has") | (F.col("__n") == F.col("__c")), F.lit(0.0)).otherwise(F.log(F.col("__n") / (F.col("__n") - F.col("__c"))))
+    factor = F.exp(F.coalesce(F.sum(grow).over(later), F.lit(0.0)))
+    mean = run.withColumn("__part", part * factor).groupBy(*key).agg((F.sum("__part") / F.sum("__c")).alias("__mean"))
+    out = _beside(_beside(sums, ends, key, "left"), mean, key, "left").withColumn("avg_duration_ms", F.coalesce("__mean", "__plain"))
     return out.withColumn("duration_samples", samples).withColumn("p99_duration_ms", p99(F.col("duration_samples"))).select(
         *key, "caller_node_id", "callee_node_id", "calls_edge_id", "count", "error_count", "avg_duration_ms", "p99_duration_ms", "last_seen", "duration_samples", "attributes",
     )
 
 
+def _beside(left: DataFrame, right: DataFrame, key: list[str], how: str) -> DataFrame:
+    """A join on keys, in which nulls are equal as in a grouping."""
+    right = right.withColumnsRenamed({k: f"__k_{k}" for k in key})
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in key])
+    return left.join(right, on, how).drop(*[f"__k_{k}" for k in key])
+
+
 def p99(samples):
     """The value at place min(floor(0.99 n), n - 1) of the sorted samples; 0 without any."""
     n = F.size(samples)

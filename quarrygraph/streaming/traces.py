@@ -21,12 +21,12 @@ def _read(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
     return spark.read.schema(OBSERVATION).parquet(f"{path}/batch={batch}")
 
 
-def merge_stream(entries: DataFrame, path: str, seq: str = "seq", project: str = ""):
+def merge_stream(entries: DataFrame, path: str, seq: str = "seq", project: str = "", zero: bool = False):
     """A streaming writer of merged observations; start it with a trigger and a checkpoint location."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        merge(batch, _read(spark, path, batch_id - 1), seq, project).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        merge(batch, _read(spark, path, batch_id - 1), seq, project, zero).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return entries.writeStream.foreachBatch(step)
 
@@ -40,12 +40,12 @@ def observations(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, max(ids)) if ids else spark.createDataFrame([], OBSERVATION)
 
 
-def run_once(entries: DataFrame, name: str, seq: str = "seq", project: str = "") -> DataFrame:
+def run_once(entries: DataFrame, name: str, seq: str = "seq", project: str = "", zero: bool = False) -> DataFrame:
     """Merge everything the source has now, in its micro-batches, and return the observations."""
     import uuid
 
     base = f"{shared_dir(entries.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    q = merge_stream(entries, f"{base}/out", seq, project).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    q = merge_stream(entries, f"{base}/out", seq, project, zero).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return observations(entries.sparkSession, f"{base}/out")
 

@@ -192,6 +192,27 @@ def test_trace_merge(spark):
         assert r.duration_samples == samples and r.p99_duration_ms == max(samples)
 
 
+def test_trace_merge_adds_up_where_the_entries_are(spark):
+    """No frame runs from a row to the end of its key, each task passes on no more than the last samples, and zero can be a
+    duration. Keys may be null."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "b", None]), "x", "s", "200", rng.choice([0.0, 3.25, 70.5]), rng.randint(1, 3), str(i)) for i in range(900)]
+    rows = [r if r[1] != "b" else (*r[:5], 8.5, *r[6:]) for r in rows]
+    rng.shuffle(rows)
+    df = entry(spark, rows).repartition(3)
+    merged = traces.merge(df)
+    plan = merged._jdf.queryExecution().executedPlan().toString().lower()
+    assert "windowgrouplimit" in plan and not [f for f in plan.split("specifiedwindowframe")[1:] if "unboundedfollowing" in f.split(")")[0] and "unboundedpreceding" not in f.split(")")[0]]
+    got = {r.caller: r for r in merged.collect()}
+    for c in ("a", "b", None):
+        n, errors, avg, samples = fold([r for r in rows if r[1] == c])
+        assert (got[c]["count"], got[c].error_count) == (n, errors) and abs(got[c].avg_duration_ms - avg) < 1e-9 and got[c].duration_samples == samples
+    for r in traces.merge(df, zero=True).collect():
+        own = sorted(x for x in rows if x[1] == r.caller)
+        assert abs(r.avg_duration_ms - sum(x[5] * x[6] for x in own) / r["count"]) < 1e-9
+        assert r.duration_samples == [int(x[5] + 0.5) for x in own for _ in range(x[6])][-100:]
+
+
 def test_spans(spark):
     fields = [c.split()[0] for c in traces.SPAN.split(", ")]
     spans = [
