@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import NODE_COLUMNS, Graph
+from ..session import spread
 
 KIND = 1_000_000_000
 
@@ -122,13 +123,15 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     n_parts = t["part"].count()
     self_or = lambda target: F.when(target != p, target)
     lines = t["lineitem"]
+    # pairs hardly repeat: made distinct before a shuffle, a task would hold nearly all of its input at once
+    pairs = lambda *keys: spread(lines.select(*keys), *keys).distinct()
     edges = [
         _edges(t["nation"], c("n_nationkey") + 2 * KIND, c("n_regionkey") + KIND, "IN_REGION"),
         _edges(t["customer"], c("c_custkey") + 3 * KIND, c("c_nationkey") + 2 * KIND, "IN_NATION"),
         _edges(t["supplier"], c("s_suppkey") + 4 * KIND, c("s_nationkey") + 2 * KIND, "IN_NATION"),
         _edges(t["orders"], c("o_custkey") + 3 * KIND, c("o_orderkey") + 6 * KIND, "PLACED"),
-        _edges(lines.select("l_orderkey", "l_partkey").distinct(), c("l_orderkey") + 6 * KIND, c("l_partkey") + 5 * KIND, "CONTAINS"),
-        _edges(lines.select("l_suppkey", "l_partkey").distinct(), c("l_suppkey") + 4 * KIND, c("l_partkey") + 5 * KIND, "SUPPLIES"),
+        _edges(pairs("l_orderkey", "l_partkey"), c("l_orderkey") + 6 * KIND, c("l_partkey") + 5 * KIND, "CONTAINS"),
+        _edges(pairs("l_suppkey", "l_partkey"), c("l_suppkey") + 4 * KIND, c("l_partkey") + 5 * KIND, "SUPPLIES"),
     ]
     calls = t["part"].select(
         p, F.explode(F.array_distinct(F.array_compact(F.array(

@@ -108,6 +108,23 @@ def test_architecture(arch):
     assert tree["internal"] == 3 and tree["internal/service"] == 2
 
 
+def test_pairs_are_dealt_by_the_size_of_their_files(spark, monkeypatch):
+    """More bytes make more parts, not larger ones; degrees count every edge at both ends."""
+    import os
+
+    from quarrygraph import session
+    from quarrygraph.sources.tables import graph
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(session, "SPREAD_BYTES", os.path.getsize(f"{sf}/lineitem.parquet") // 20, raising=False)
+    g = graph(spark, sf)
+    for kind, keys in (("CONTAINS", ("l_orderkey", "l_partkey")), ("SUPPLIES", ("l_suppkey", "l_partkey"))):
+        parts = [r["count"] for r in g.edges.filter(F.col("type") == kind).groupBy(F.spark_partition_id()).count().collect()]
+        assert max(parts) * 8 < sum(parts) == spark.read.parquet(f"{sf}/lineitem.parquet").select(*keys).distinct().count()
+    n = g.edges.count()
+    assert tuple(analytics.degrees(g).agg(F.sum("in_degree"), F.sum("out_degree")).first()) == (n, n)
+
+
 def test_property_catalog(spark):
     rows = [("a", '{"flag":true,"n":1,"z":null}'), ("a", '{"flag":false,"n":2.5}'), ("b", '{"x":1}'), ("b", '{"x":"text","o":{},"l":[]}'), ("c", "broken"), ("d", '{"r":1.0,"e":1e3}')]
     got = {(r.kind, r.property_key): r.value_type for r in analytics.property_catalog(spark.createDataFrame(rows, "kind string, properties string")).collect()}
