@@ -40,8 +40,8 @@ def with_ids(nodes: DataFrame) -> DataFrame:
 
 def resolve_edges(named: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges by qualified name to edges by id; unresolved ones are dropped, equal ones are one (the first by
-    properties)."""
-    ids = nodes.select("project", "qualified_name", "id")
+    properties). Nodes are never broadcast: their files say little of their size in memory, and every task would count it."""
+    ids = nodes.select("project", "qualified_name", "id").hint("merge")
     out = (
         named.join(ids.select("project", F.col("qualified_name").alias("source_qn"), F.col("id").alias("source_id")), ["project", "source_qn"])
         .join(ids.select("project", F.col("qualified_name").alias("target_qn"), F.col("id").alias("target_id")), ["project", "target_qn"])

@@ -280,6 +280,19 @@ def test_store(spark, tmp_path):
         s.save("../x", g)
 
 
+def test_names_resolve_without_broadcasts(spark):
+    """However small their files look, nodes do not go whole to every task."""
+    from quarrygraph.queries import QUERIES
+    from quarrygraph.schema import NAMED_EDGE
+
+    g, ids = chain(spark)
+    named = [("test", f"test.{a}", f"test.{b}", "CALLS", p) for a, b, p in (("A", "B", "2"), ("A", "B", "1"), ("E", "C", "3"), ("A", "none", "4"))]
+    out = store.resolve_edges(spark.createDataFrame(named, NAMED_EDGE), g.nodes)
+    assert pairs(out.select("source_id", "target_id", "properties")) == [(ids["A"], ids["B"], "1"), (ids["E"], ids["C"], "3")]
+    for df in (out, QUERIES["resolve_named_edges"](spark, "/root/testdata/sf0.001")):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_upsert_keeps_ids_and_last_values(spark):
     g, _ = chain(spark)
     new = [(99, "test", "Class", "A2", "test.A", "n.cs", 1, 1, "{}", 1), (98, "test", "Class", "A3", "test.A", "n.cs", 1, 1, "{}", 2), (97, "test", "Method", "Z", "test.Z", "z.cs", 1, 1, "{}", 1)]
